@@ -5,7 +5,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,6 +27,8 @@ class Unit:
     high: int
     size: int
     groups: int
+    #: Upper bits of the digests in it, as many as were looked at when it was made.
+    cell: int
 
 
 def _cuts(units: list[Unit], shards: int, capacity: int, divisible: bool) -> list[int] | None:
@@ -93,28 +95,27 @@ def _open_units(units: list[Unit], shards: int, low: int, high: int) -> list[int
 def plan_shards(groups: DataFrame, shards: int) -> list[int]:
     """First digest of each shard but the first, for ``groups`` (digest, size, rows).
 
-    Only sums over ranges of digests reach the driver, at most about ``UNITS`` at a time. Where a cut may fall
-    inside a range, that range is split again and summed by Spark, until the smallest capacity and its cuts are
-    exact for single groups.
+    Only sums over cells of digests reach the driver, at most about ``UNITS`` at a time. Cells in which a cut may fall
+    are divided by further bits and summed again by Spark, until the smallest capacity and its cuts are exact for
+    single groups. As capacities are narrowed down, a cell that no cut can reach is out of reach for good, so that the
+    cells to divide are always those of the last round.
     """
-    step = (1 << 64) // UNITS
-    wide = F.shiftright(F.col("digest"), 64 - UNITS.bit_length() + 1)
-    units = [Unit(int(r[0]) * step, (int(r[0]) + 1) * step, int(r[1]), int(r[2])) for r in groups.groupBy(wide.alias("u")).agg(F.sum("size"), F.count("*")).collect()]
-    units.sort(key=lambda u: u.low)
+    def look(rows: DataFrame, bits: int) -> list[Unit]:
+        found = rows.groupBy(F.shiftright("digest", 64 - bits).alias("cell")).agg(F.min("digest"), F.max("digest"), F.sum("size"), F.count("*"))
+        return [Unit(int(r[1]), int(r[2]) + 1, int(r[3]), int(r[4]), int(r[0])) for r in found.collect()]
+
+    bits = UNITS.bit_length() - 1
+    units = sorted(look(groups, bits), key=lambda u: u.low)
     while True:
-        low, high = max(_least(units, shards, True), 0), _least(units, shards, False)
+        low, high = _least(units, shards, True), _least(units, shards, False)
         marked = _open_units(units, shards, low, high)
         if not marked:
             break
-        into = max(2, min(1024, UNITS // len(marked)))
-        width = max(1, max(-(-(units[k].high - units[k].low) // into) for k in marked))
-        near = F.lit(False)
-        for a, b in _merged([units[k] for k in marked]):
-            near = near | F.col("digest").between(a, b - 1)
-        found = groups.where(near).groupBy(_cell(width).alias("d")).agg(F.sum("size"), F.count("*"), F.min("digest"), F.max("digest")).collect()
-        fresh = [Unit(int(r[3]), int(r[4]) + 1, int(r[1]), int(r[2])) for r in found]
+        cells = groups.sparkSession.createDataFrame([(units[k].cell,) for k in marked], "cell long")
+        near = groups.join(F.broadcast(cells), F.shiftright("digest", 64 - bits) == F.col("cell")).drop("cell")
+        bits = min(64, bits + max(1, min(10, (UNITS // len(marked)).bit_length() - 1)))
         gone = set(marked)
-        units = sorted([u for k, u in enumerate(units) if k not in gone] + fresh, key=lambda u: u.low)
+        units = sorted([u for k, u in enumerate(units) if k not in gone] + look(near, bits), key=lambda u: u.low)
     cuts, starts, at = _cuts(units, shards, high, False) or [], [], 0
     ends = set(cuts[:-1])
     for u in units:
@@ -124,22 +125,6 @@ def plan_shards(groups: DataFrame, shards: int) -> list[int]:
     return starts
 
 
-def _merged(units: list[Unit]) -> list[tuple[int, int]]:
-    """The ranges of consecutive units, joined where they touch."""
-    out: list[tuple[int, int]] = []
-    for u in units:
-        if out and out[-1][1] == u.low:
-            out[-1] = (out[-1][0], u.high)
-        else:
-            out.append((u.low, u.high))
-    return out
-
-
-def _cell(width: int) -> Column:
-    """Number of the cell of ``width`` digests: floor division on longs, exact where doubles would round."""
-    return F.expr(f"digest div {width}L - CASE WHEN digest < 0 AND digest % {width}L <> 0 THEN 1 ELSE 0 END")
-
-
 def shard_documents(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Put each row into one of ``shards`` shards of near equal bytes; rows with equal texts share a shard.
 

@@ -28,9 +28,10 @@ def numbered(df: DataFrame, keys: list[str], seq: str, name: str = "pos", block:
 def over_last(df: DataFrame, keys: list[str], seq: str, n: int, columns: dict[str, Column], block: int = BLOCK) -> DataFrame:
     """``df`` with ``columns``: aggregates over the last ``n`` rows of the channel, up to and with the row itself.
 
-    A channel is cut into blocks of positions; each block also gets the ``n - 1`` rows before it, so that blocks
-    are windows of their own.
+    A channel is cut into blocks of positions, no smaller than ``n``; each block also gets the ``n - 1`` rows before
+    it, so that blocks are windows of their own.
     """
+    block = max(block, n)
     rows = numbered(df, keys, seq, "__pos", block).withColumn("__b", F.floor((F.col("__pos") - 1) / block)).withColumn("__halo", F.lit(False))
     edge = rows.where((F.col("__pos") - 1) % block > block - n).withColumns({"__b": F.col("__b") + 1, "__halo": F.lit(True)})
     frame = Window.partitionBy(*keys, "__b").orderBy("__pos").rowsBetween(-(n - 1), 0)

@@ -26,7 +26,7 @@ def explode_lines(df: DataFrame, text: str, line: str = "value", number: str = "
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Whole files as (file_name, content); never in fragments."""
+    """Whole files as (file_name, content), never in fragments. Spark's source passes over empty files."""
     return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "content")
 
 

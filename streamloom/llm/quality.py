@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, shingles_of, words_of
+from .common import cut, shingles_of, small, words_of
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -128,7 +128,7 @@ def _step(rows: DataFrame, fit: DataFrame) -> DataFrame:
     Rows are summed by bin of distance, so that one pass gives both the threshold and the moments below it.
     """
     bin_of = F.floor(F.log2(F.greatest(F.col("d2"), F.lit(2.0**LOW))) * PER_OCTAVE)
-    near = rows.join(fit, "g").withColumn("d2", _distance()).withColumn("bin", F.least(bin_of, F.lit(HIGH * PER_OCTAVE)))
+    near = rows.join(small(fit), "g").withColumn("d2", _distance()).withColumn("bin", F.least(bin_of, F.lit(HIGH * PER_OCTAVE)))
     sums = near.groupBy("g", "bin").agg(F.count("*").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(VECTOR)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in PAIRS])
     w = Window.partitionBy("g")
     # Bins before the h-th row and the one that holds it.
@@ -157,12 +157,12 @@ def quality_rules(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: st
     sizes = stats.where(good).groupBy("__by_lang", "__by_source").agg(F.count("*").alias("__n"))
     by_lang = sizes.groupBy(F.col("__by_lang").alias("__l")).agg(F.sum("__n").alias("__nl"))
     group = F.when(F.col("__n") >= LEAST_GROUP, F.concat(F.lit("s:"), "__by_source")).when(F.col("__nl") >= LEAST_GROUP, F.concat(F.lit("l:"), "__by_lang")).otherwise("all")
-    naming = cut(sizes.join(by_lang, F.col("__by_lang") == F.col("__l")).select(F.col("__by_source").alias("__s"), group.alias("g")))
+    naming = small(cut(sizes.join(by_lang, F.col("__by_lang") == F.col("__l")).select(F.col("__by_source").alias("__s"), group.alias("g"))))
     rows = stats.where(good).join(naming, F.col("__by_source") == F.col("__s")).select("g", *VECTOR)
     fit = cut(_start(rows))
     for _ in range(STEPS):
         fit = cut(_step(rows, fit))
     # The scatter of the nearest share is too small for the whole; chi squared says by how much.
     scaled = fit.select("g", *CENTRES, *FACTORS)
-    judged = stats.join(naming, F.col("__by_source") == F.col("__s"), "left").join(scaled, "g", "left").withColumn("distance", F.when(good, _distance() / F.lit(CHI2_SUBSET / DIMS)))
+    judged = stats.join(naming, F.col("__by_source") == F.col("__s"), "left").join(small(scaled), "g", "left").withColumn("distance", F.when(good, _distance() / F.lit(CHI2_SUBSET / DIMS)))
     return judged.select(*keys, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", (good & (F.col("distance") <= CHI2_CUT)).alias("kept"))

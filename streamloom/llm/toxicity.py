@@ -103,7 +103,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
     Spark counts in how many toxic and other rows each word and word beginning occurs; only the ``FEATURES`` most
     telling reach the driver. Voters are the features that speak for toxicity: words make the lexicon, beginnings the
     patterns. The label model weighs their votes and the given labels into posteriors, on which the linear classifier
-    is trained. Without any labelled row, or with one class only, all scores are the share of toxic rows (or 0).
+    is trained. Without labelled rows of both classes, or features in enough of them, all scores
+    are the share of toxic rows, or nearly 0.
     """
     known = labels.where(F.col(toxic).isNotNull() & ~held_out(F.col(doc_id))).groupBy(doc_id).agg(F.max(toxic).alias("__y")).orderBy(F.xxhash64(doc_id), doc_id).limit(SAMPLE)
     sample = docs.select(doc_id, text).join(F.broadcast(known), doc_id).where(F.col(text).isNotNull())
@@ -117,15 +118,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
     found = sample.select(doc_id, text, F.col("__y").cast("int")).mapInArrow(tokens, "doc long, y int, f string")
     totals = {r[0]: r[1] for r in sample.groupBy("__y").count().collect()}
     pos, neg = totals.get(1, 0), sum(totals.values()) - totals.get(1, 0)
+    share = pos / (pos + neg) if pos + neg else 0.0
+    guess = ToxicityModel({}, float(np.log((share + 1e-6) / (1 - share + 1e-6))), [], None)
     if not pos or not neg:
-        share = pos / (pos + neg) if pos + neg else 0.0
-        return ToxicityModel({}, float(np.log((share + 1e-6) / (1 - share + 1e-6))), [], None)
+        return guess
     a, b = F.col("a"), F.col("b")
     chi = F.pow(a * (neg - b) - b * (pos - a), F.lit(2)) / ((a + b) * (pos + neg - a - b + 1))
     best = (
         found.groupBy("f").agg(F.sum((F.col("y") == 1).cast("double")).alias("a"), F.sum((F.col("y") != 1).cast("double")).alias("b"))
         .where(a + b >= LEAST_ROWS).orderBy(chi.desc(), "f").limit(FEATURES).collect()
     )
+    if not best:
+        return guess
     number = {r["f"]: k for k, r in enumerate(best)}
     voters = [k for k, r in enumerate(best) if r["a"] >= LEAST_ROWS and (r["a"] / pos) >= LIFT * (r["b"] + 0.5) / neg][:VOTERS]
     names = docs.sparkSession.createDataFrame([(f, k) for f, k in number.items()], "f string, k int")

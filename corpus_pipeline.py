@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamloom.llm.bpe import byte_bpe
-from streamloom.llm.common import cut, read, shared_folder
+from streamloom.llm.common import cut, read, shared_folder, small
 from streamloom.llm.decontaminate import contaminated_texts
 from streamloom.llm.jaccard_join import jaccard_join, text_digest
 from streamloom.llm.queries import tokenizer
@@ -24,8 +24,8 @@ def _key(*columns: str) -> Column:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; equal texts of a language and source share a verdict."""
     rows = docs.withColumn("__key", _key("lang", "source", "text"))
-    kept = quality_rules(rows, keys=("__key",)).where("kept").select("__key").distinct()
-    return rows.join(kept, "__key", "left_semi").select(docs.columns)
+    rejected = cut(quality_rules(rows, keys=("__key",)).where(~F.col("kept")).select("__key").distinct())
+    return rows.join(small(rejected), "__key", "left_anti").select(docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,19 +36,21 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of exact and near copies; documents without words stay."""
-    joined = cut(jaccard_join(docs.select("doc_id", "text")).where("digest IS NOT NULL").groupBy("doc_id", "digest").agg(F.max("keep").alias("keep"), F.count("*").alias("n")).where("keep").select(_key("doc_id", "digest").alias("__key"), "n"))
+    found = jaccard_join(docs.select("doc_id", "text")).where("digest IS NOT NULL").groupBy("doc_id", "digest").agg(F.max("keep").alias("keep"), F.count("*").alias("n"))
+    judged = cut(found.where("NOT keep OR n > 1").select(_key("doc_id", "digest").alias("__key"), "keep"))
+    dropped, repeated = judged.where(~F.col("keep")).select("__key"), judged.where("keep").select("__key")
     rows = docs.withColumn("digest", text_digest(F.col("text"))).withColumn("__key", _key("doc_id", "digest"))
-    kept = rows.where("digest IS NOT NULL").join(joined.where("n = 1"), "__key", "left_semi")
-    repeated = joined.where("n > 1")
+    kept = rows.join(small(dropped), "__key", "left_anti")
     if not repeated.isEmpty():  # rows that repeat an id and its text: one of them
-        kept = kept.union(rows.join(repeated, "__key", "left_semi").dropDuplicates(["__key"]))
-    return kept.select(docs.columns).union(rows.where("digest IS NULL").select(docs.columns))
+        several = small(repeated)
+        kept = kept.join(several, "__key", "left_anti").unionByName(kept.join(several, "__key", "left_semi").dropDuplicates(["__key"]))
+    return kept.select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
-    found = contaminated_texts(docs, read(spark, sf_dir, "benchmark")).select(F.col("digest").alias("__digest")).distinct()
-    return docs.withColumn("__d", F.md5("text")).join(found, F.col("__d") == F.col("__digest"), "left_anti").select(docs.columns)
+    found = cut(contaminated_texts(docs, read(spark, sf_dir, "benchmark")).select(F.col("digest").alias("__d")).distinct())
+    return docs.withColumn("__d", F.md5("text")).join(small(found), "__d", "left_anti").select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,9 @@ SAMPLE = 8_000
 #: Features that the voters and the classifier choose from: the most telling ones by chi squared.
 FEATURES = 1_024
 #: Voters: features that are at least so many times as likely in toxic rows, and are in so many rows at least.
-VOTERS, LIFT, LEAST_ROWS = 256, 6.0, 6
+VOTERS, LIFT, LEAST_ROWS = 256, 6.0, 3
+#: Chi squared (N * phi squared) that a feature needs: among 100,000 features of pure chance hardly one gets there.
+TELLING = 18.0
 #: Lengths of word beginnings that are features besides whole words.
 STEMS = (4, 5, 6)
 EM_STEPS, EPOCHS, RIDGE = 30, 300, 1e-3
@@ -123,10 +125,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
     if not pos or not neg:
         return guess
     a, b = F.col("a"), F.col("b")
-    chi = F.pow(a * (neg - b) - b * (pos - a), F.lit(2)) / ((a + b) * (pos + neg - a - b + 1))
+    chi = (pos + neg) * F.pow(a * (neg - b) - b * (pos - a), F.lit(2)) / ((a + b) * (pos + neg - a - b + 1) * F.lit(float(pos)) * neg)
     best = (
         found.groupBy("f").agg(F.sum((F.col("y") == 1).cast("double")).alias("a"), F.sum((F.col("y") != 1).cast("double")).alias("b"))
-        .where(a + b >= LEAST_ROWS).orderBy(chi.desc(), "f").limit(FEATURES).collect()
+        .where((a + b >= LEAST_ROWS) & (chi >= TELLING)).orderBy(chi.desc(), "f").limit(FEATURES).collect()
     )
     if not best:
         return guess
@@ -135,14 +137,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
     names = docs.sparkSession.createDataFrame([(f, k) for f, k in number.items()], "f string, k int")
     seen = found.join(F.broadcast(names), "f").groupBy("doc").agg(F.max("y").alias("y"), F.sort_array(F.collect_set("k")).alias("k")).orderBy("doc").collect()
     rows, given = [np.array(r["k"]) for r in seen], np.array([r["y"] == 1 for r in seen])
-    empty = pos + neg - len(rows)
+    # Rows without any of the features are part of the sample too.
+    bare = [pos - int(given.sum()), neg - int((~given).sum())]
+    rows, given = rows + [np.zeros(0, int)] * sum(bare), np.concatenate([given, np.repeat([True, False], bare)])
     place = {k: j for j, k in enumerate(voters)}
     fires = np.zeros((len(rows), max(len(voters), 1)))
     for i, r in enumerate(rows):
         fires[i, [place[k] for k in r.tolist() if k in place]] = 1
     model = fit_label_model(fires, given)
-    target = np.concatenate([model.posterior(fires, given), np.full(empty, model.prior)])
-    w, bias = fit_linear(rows + [np.zeros(0, int)] * empty, len(number), target)
+    w, bias = fit_linear(rows, len(number), model.posterior(fires, given))
     return ToxicityModel({f: float(w[k]) for f, k in number.items() if abs(w[k]) > 1e-6}, bias, [best[k]["f"] for k in voters], model)
 
 

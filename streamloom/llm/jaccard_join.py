@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut
+from .common import BROADCAST_ROWS, SPACES, cut
 from .components import components
 from .shingles import minima, mixed, permutations, row_shingles
 
@@ -152,7 +152,11 @@ def jaccard_classes(docs: DataFrame, text: str = "text", similarity: float = SIM
     hubs = keys.groupBy("band").agg(F.min("digest").alias("hub"), F.count("*").alias("n")).where("n > 1")
     stars = keys.join(hubs, "band").where("digest <> hub").select(F.col("digest").alias("a"), F.col("hub").alias("b")).distinct()
     groups = cut(components(stars))
-    chosen = docs.select(F.md5(text).alias("digest"), F.col(text).alias("text")).join(groups.select(F.col("node").alias("digest"), F.col("root").alias("grp")), "digest").groupBy("digest").agg(F.first("grp").alias("grp"), F.first("text").alias("text"))
+    near, texts = groups.select(F.col("node").alias("digest"), F.col("root").alias("grp")), docs.select(F.md5(text).alias("digest"), F.col(text).alias("text"))
+    if near.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # few candidates: other texts stay where they are
+        chosen = texts.join(F.broadcast(near), "digest").groupBy("digest").agg(F.first("grp").alias("grp"), F.first("text").alias("text"))
+    else:  # copies of a text become one row in each task before texts are shuffled
+        chosen = texts.groupBy("digest").agg(F.first("text").alias("text")).join(near, "digest")
     sets = cut(_sets(chosen))
     chunks = sets.groupBy("grp").agg(F.ceil(F.sum(F.size("s")) / F.lit(float(BLOCK))).cast("int").alias("chunks"))
     dealt = sets.join(chunks, "grp").withColumn("c", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int"))

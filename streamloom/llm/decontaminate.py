@@ -1,22 +1,15 @@
-"""Benchmark decontamination: item-sized windows, SimHash, Hamming blocks, weighted shingle similarity."""
+"""Benchmark decontamination: item-sized windows found by counting shared shingles, weighted shingle similarity."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, shingles_of, small, words_of
 
 WORDS, SIMILARITY = 5, 0.8
-#: Fingerprints this far apart at most are candidates; RADIUS + 1 blocks of their 64 bits make sure that none is missed.
-RADIUS = 11
 #: Shingles of benchmark items that are broadcast at most; more are joined by shuffling.
 BROADCAST_SHINGLES = 1_000_000
-#: Lanes of the counters of bits: LANE bits each, 64 // LANE of them in a long.
-LANE = 16
-_MASK = sum(1 << (LANE * i) for i in range(64 // LANE))
 
 
 def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
@@ -28,22 +21,15 @@ def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
     return words.select("item", "k", sh.alias("sh")).withColumn("m", F.size("sh"))
 
 
-def _fingerprints(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """SimHash of the array ``sh`` of each row: bit i is set if most shingles have it. ``keys`` identify a row.
-
-    The 64 counters are lanes of a few longs, so that adding a shingle takes one addition for every 4 bits.
-    """
-    votes = [F.sum(F.shiftright(F.col("h"), g).bitwiseAND(F.lit(_MASK))).alias(f"v{g}") for g in range(LANE)]
-    summed = rows.withColumn("h", F.explode("sh")).groupBy(*keys).agg(F.count("*").alias("n"), *votes)
-    bit = lambda g, lane: ((F.shiftrightunsigned(F.col(f"v{g}"), LANE * lane).bitwiseAND(F.lit((1 << LANE) - 1)) * 2) > F.col("n")).cast("long")
-    fingerprint = reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(bit(g, lane), g + LANE * lane) for g in range(LANE) for lane in range(64 // LANE)])
-    return summed.select(*keys, fingerprint.alias("fp"))
+def _shared(window: Column) -> Column:
+    """sum(min) of a window's shingles (h, ic) that an item has ``ic`` times: runs of equal ones count up to ``ic``."""
+    start = F.struct(F.lit(0).cast("long").alias("both"), F.lit(None).cast("long").alias("h"), F.lit(0).alias("run"))
 
+    def add(a: Column, x: Column) -> Column:
+        run = F.when(a["h"] == x["h"], a["run"]).otherwise(F.lit(0)) + 1
+        return F.struct((a["both"] + (run <= x["ic"]).cast("long")).alias("both"), x["h"].alias("h"), run.alias("run"))
 
-def _blocks(fp: Column) -> Column:
-    """(number, bits) of each of the RADIUS + 1 blocks; two fingerprints within the radius agree on one of them."""
-    edges = [64 * i // (RADIUS + 1) for i in range(RADIUS + 2)]
-    return F.array(*[F.struct(F.lit(i).alias("at"), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
+    return F.aggregate(F.sort_array(window), start, add, lambda a: a["both"])
 
 
 def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -54,13 +40,12 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     ``similarity`` among the windows that begin with one of the item's shingles. No other window beats those: moving a
     window on to its next shared shingle loses none. Words are compared in lower case.
 
-    Windows without enough shared shingles to reach the similarity are left out by counting; the others get SimHash
-    fingerprints and meet the items whose fingerprints are within ``RADIUS`` bits through equal blocks, then exact
-    similarity decides. Null or blank texts and items match nothing; copies of a text are judged once; empty tables
-    give no rows. Items of more than 65,535 shingles would overflow a counter and are compared without fingerprints.
+    Windows without enough shared shingles to reach the similarity are left out by counting, which loses none; exact
+    similarity decides on all others. Null or blank texts and items match nothing; copies of a text are judged once;
+    empty tables give no rows.
     """
-    items = cut(_items(benchmark, item_id, item_text))
-    wanted = cut(items.select(F.explode(F.array_distinct("sh")).alias("h"), "k", "item", "m"))
+    items = cut(_items(benchmark, item_id, item_text).withColumn("own", F.xxhash64("sh")).dropDuplicates(["item", "k", "m", "own"]))
+    wanted = cut(items.select("item", "k", "m", "own", F.explode("sh").alias("h")).groupBy("item", "k", "m", "own", "h").agg(F.count("*").alias("ic")))
     hashes = wanted.select("h").distinct()
     lengths = [r[0] for r in items.select("k").distinct().collect()]  # at most WORDS values
     words = words_of(F.lower(F.col(text)))
@@ -72,30 +57,20 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text: str = "text"
         hits = one if hits is None else hits.union(one)
     if hits is None:
         return docs.select(F.md5(text).alias("digest"), F.lit(0).cast("long").alias(item_id), F.lit(0.0).alias("similarity")).limit(0)
-    near = hits.distinct().join(small(wanted, BROADCAST_SHINGLES), ["h", "k"]).groupBy("digest", "item", "k", "m").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    found = F.sort_array(F.collect_set(F.struct("pos", "h", "ic")))
+    near = hits.distinct().join(small(wanted, BROADCAST_SHINGLES), ["h", "k"]).groupBy("digest", "item", "k", "m", "own").agg(found.alias("at"))
     # Of m shingles on both sides, min / max >= s needs 2s / (1 + s) * m shared ones.
     need = F.ceil(F.col("m") * (2 * similarity / (1 + similarity)) - 1e-9).cast("int")
-    starts = F.filter(F.col("at"), lambda p, i: F.coalesce(F.get("at", i + F.col("need") - 1) < p + F.col("m"), F.lit(False)))
-    near = near.withColumn("need", need).where(F.size("at") >= F.col("need")).withColumn("starts", starts).where(F.size("starts") > 0)
-    spans = cut(near.select("digest", "k", "m", F.explode("starts").alias("start")).distinct())
-    # Shingles of those windows, from the texts that have any.
-    few = small(spans.select(F.col("digest").alias("d")).distinct())
-    again = read.join(few, F.col("digest") == F.col("d"), "left_semi").dropDuplicates(["digest"])
-    parts = None
-    for k in sorted(lengths):
-        held = again.select(F.col("digest").alias("d"), shingles_of(F.col("w"), k).alias("all"))
-        one = spans.where(F.col("k") == k).join(held, F.col("digest") == F.col("d")).select("digest", "k", "m", "start", F.slice("all", F.least(F.col("start"), F.greatest(F.size("all") - F.col("m"), F.lit(0))) + 1, F.col("m")).alias("sh"))
-        parts = one if parts is None else parts.union(one)
-    windows = cut(parts)
-    key = ["digest", "k", "m", "start"]
-    left = _fingerprints(windows, key).withColumn("b", F.explode(_blocks(F.col("fp"))))
-    right = _fingerprints(items, ["item", "k", "m"]).select("item", F.col("k").alias("ik"), F.col("m").alias("im"), F.col("fp").alias("ifp")).withColumn("ib", F.explode(_blocks(F.col("ifp"))))
-    close = left.join(right, (F.col("b") == F.col("ib")) & (F.col("k") == F.col("ik")) & (F.col("m") == F.col("im"))).where((F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS) | (F.col("m") >= 1 << LANE))
-    pairs = close.select(*key, "item").distinct()
-    weighed = windows.withColumn("h", F.explode("sh")).groupBy(*key, "h").agg(F.count("*").alias("c"))
-    item_weights = items.withColumn("h", F.explode("sh")).groupBy("item", "h").agg(F.count("*").alias("ic"))
-    shared = pairs.join(weighed, key).join(item_weights, ["item", "h"]).groupBy(*key, "item").agg(F.sum(F.least("c", "ic")).alias("both"))
-    sized = shared.withColumn("similarity", F.col("both") / (2 * F.col("m") - F.col("both"))).where(F.col("similarity") >= similarity - 1e-9)
+    # Places in ``at`` from which on enough of them lie within m; a window holds at most the next m places.
+    enough = lambda i: F.coalesce(F.get("at", i + F.col("need") - 1)["pos"] < F.get("at", i)["pos"] + F.col("m"), F.lit(False))
+    near = near.withColumn("need", need).where(F.size("at") >= F.col("need")).withColumn("starts", F.filter(F.sequence(F.lit(0), F.size("at") - 1), enough)).where(F.size("starts") > 0)
+
+    def shared(i: Column) -> Column:
+        end = F.get("at", i)["pos"] + F.col("m")
+        inside = F.filter(F.slice("at", i + 1, F.col("m")), lambda x: x["pos"] < end)
+        return _shared(F.transform(inside, lambda x: F.struct(x["h"].alias("h"), x["ic"].alias("ic"))))
+
+    sized = near.withColumn("both", F.array_max(F.transform("starts", shared))).withColumn("similarity", F.col("both") / (2 * F.col("m") - F.col("both"))).where(F.col("similarity") >= similarity - 1e-9)
     return sized.groupBy("digest", "item").agg(F.max("similarity").alias("similarity")).withColumnRenamed("item", item_id)
 
 

@@ -111,6 +111,24 @@ def test_contamination(spark, docs, sf_dir):
     assert got <= want and len(want - got) <= 0.05 * len(want) and {(90000 + i, k) for i, k in enumerate(some)} <= got
 
 
+def test_contamination_near_the_threshold(spark):
+    """One changed word in items of 45 to 55 shingles: similarity 0.80 to 0.83, all found with their exact similarity."""
+    rng = random.Random(7)
+    items = [(k, [f"w{rng.randrange(10**6)}" for _ in range(49 + k % 11)]) for k in range(120)]
+    rows, want = [], {}
+    for k, w in items:
+        m, changed = len(w) - 4, list(w)
+        changed[rng.randrange(5, len(w) - 5)] = "other"
+        rows.append((k, "before it " + " ".join(changed) + " after it"))
+        want[(k, k)] = (m - 5) / (m + 5)
+    rows.append((500, " ".join(["ab ab ab ab ab ab"] * 9)))  # a window of one shingle, 18 times in the item
+    items.append((500, ["ab"] * 22))
+    want[(500, 500)] = 1.0
+    got = contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string"))
+    found = {(r.doc_id, r.item_id): r.similarity for r in got.collect()}
+    assert found.keys() == want.keys() and all(abs(found[x] - want[x]) < 1e-9 for x in want)
+
+
 def test_shards_are_minimax(docs):
     sized = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("d"), (F.octet_length("text") + 16).alias("z")).groupBy("d").agg(F.sum("z").alias("z")).orderBy("d")
     z = [r.z for r in sized.collect()]

@@ -18,7 +18,7 @@ SUBSET = 0.75
 STEPS = 3
 #: Quantiles of chi squared with four degrees of freedom, at SUBSET and at 0.9999 (the cut-off): fixed values.
 CHI2_SUBSET, CHI2_CUT = 5.385, 23.51
-#: Smaller groups are judged with all groups of their language together, or else of all languages.
+#: Smaller groups are judged by the fit of all rows of their language, languages under it by the fit of all rows.
 LEAST_GROUP = 200
 #: Least standard deviation of each statistic: below it, differences don't matter.
 FLOORS = (0.06, 0.04, 0.12, 0.05)
@@ -146,8 +146,8 @@ def quality_rules(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: st
     ``base_failed``: under 50 words, or over half of the words in repeated 3-word windows. The others are grouped by
     language and source (null is a value of its own). Each group's minimum-covariance-determinant centre and scatter
     come from deterministic concentration steps over all its rows; ``kept`` is false beyond the cut-off of the
-    Mahalanobis distance. Groups under ``LEAST_GROUP`` rows are judged with the rest of their language, and languages
-    under it all together. Only sums by group and bin of distance are shuffled, so a hot source is no burden. Rows
+    Mahalanobis distance. Groups under ``LEAST_GROUP`` rows are judged by the fit of all rows of their language, large
+    groups included, and those of languages under it by the fit of all rows. Only sums by group and bin of distance are shuffled, so a hot source is no burden. Rows
     stay rows: repeated ones get the same verdict, null and blank texts fail, an empty table gives no rows.
     """
     name = lambda *c: F.concat_ws("\n", *[F.coalesce(F.concat(F.lit("="), x.cast("string")), F.lit("-")) for x in c])
@@ -156,9 +156,14 @@ def quality_rules(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: st
     good = ~F.col("base_failed")
     sizes = stats.where(good).groupBy("__by_lang", "__by_source").agg(F.count("*").alias("__n"))
     by_lang = sizes.groupBy(F.col("__by_lang").alias("__l")).agg(F.sum("__n").alias("__nl"))
-    group = F.when(F.col("__n") >= LEAST_GROUP, F.concat(F.lit("s:"), "__by_source")).when(F.col("__nl") >= LEAST_GROUP, F.concat(F.lit("l:"), "__by_lang")).otherwise("all")
-    naming = small(cut(sizes.join(by_lang, F.col("__by_lang") == F.col("__l")).select(F.col("__by_source").alias("__s"), group.alias("g"))))
-    rows = stats.where(good).join(naming, F.col("__by_source") == F.col("__s")).select("g", *VECTOR)
+    groups = [F.concat(F.lit("s:"), "__by_source"), F.concat(F.lit("l:"), "__by_lang"), F.lit("all")]
+    group = F.when(F.col("__n") >= LEAST_GROUP, groups[0]).when(F.col("__nl") >= LEAST_GROUP, groups[1]).otherwise(groups[2])
+    named = cut(sizes.join(by_lang, F.col("__by_lang") == F.col("__l")).select(F.col("__by_source").alias("__s"), group.alias("g"), F.array(*groups).alias("__in")))
+    naming = small(named.select("__s", "g"))
+    # A row counts in its source's, its language's and the common fit, as far as any source is judged by them.
+    judges = named.select("g").distinct()
+    fitting = small(cut(named.select("__s", F.explode("__in").alias("g")).join(judges, "g", "left_semi")))
+    rows = stats.where(good).join(fitting, F.col("__by_source") == F.col("__s")).select("g", *VECTOR)
     fit = cut(_start(rows))
     for _ in range(STEPS):
         fit = cut(_step(rows, fit))

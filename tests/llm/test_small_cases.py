@@ -122,6 +122,17 @@ def test_quality(docs, none):
     assert quality_rules(docs).count() == len(ROWS) and quality_rules(none).count() == 0
 
 
+def test_quality_of_tiny_sources(spark):
+    """Junk of a source or language with few rows is judged by its whole language, or by all rows."""
+    plain = lambda i: " ".join(WORDS[(7 * i + j) % 3000] for j in range(60 + i % 40))
+    junk = " ".join(f"W{i}!! ##$%" for i in range(60))
+    rows = [(i, plain(i), "en", "web") for i in range(600)] + [(1000, junk, "en", "tiny"), (1001, junk, "en", "tiny"), (1002, plain(5), "en", "rare")]
+    rows += [(2000, junk, "xx", "tiny"), (2001, plain(9), "yy", "rare")]
+    got = {r.doc_id: r for r in quality_rules(spark.createDataFrame(rows, EXTRA)).collect()}
+    assert len(got) == len(rows) and not any(r.base_failed for r in got.values())
+    assert not any(got[i].kept for i in (1000, 1001, 2000)) and all(got[i].kept for i in (1002, 2001, *range(600)))
+
+
 def test_bpe(docs, none):
     got = byte_bpe(docs, *tokenizer())
     assert got.count() == len(ROWS) and byte_bpe(none, *tokenizer()).count() == 0

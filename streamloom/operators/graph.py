@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -79,19 +81,27 @@ def sharing_cycles(vertices: DataFrame) -> DataFrame:
     return pairs_reached(vertices.where("share_with IS NOT NULL"), "id", "share_with").where("src = dst").select(F.col("src").alias("node"))
 
 
-def sequences(edges: DataFrame, begin: str, end: str, inclusive: bool = True, most: int = 64) -> DataFrame:
+def sequences(edges: DataFrame, begin: str, end: str, inclusive: bool = True) -> DataFrame:
     """(``path``, ``elements``): every path from ``begin`` to ``end`` in a DAG with parallel edges, which give paths of
-    their own. ``elements`` names vertices and edges in turn, without the end vertices unless ``inclusive``."""
+    their own. ``elements`` names vertices and edges in turn, without the end vertices unless ``inclusive``.
+
+    Rounds go on until no path grows. A path with more edges than there are vertices with outgoing edges has been at one
+    of them twice: then a cycle can be reached and the paths have no end, which raises an error.
+    """
     e = edges.select("src", "dst", F.concat_ws("", F.lit("e("), "src", F.lit(":"), "out_gate", F.lit(">"), "dst", F.lit(":"), "in_gate", F.lit(")")).alias("edge"))
     e = _cut(e)
+    longest = e.where((F.col("src") != end) | (F.col("src") == begin)).select("src").distinct().count()
     front = e.where(F.col("src") == begin).select("dst", F.array(F.lit(begin), "edge", "dst").alias("path"))
     done = None
-    for _ in range(most):
+    for k in count(1):
         front = _cut(front)
         if front.isEmpty():
             break
+        if k > longest:
+            raise ValueError(f"a cycle can be reached from {begin}")
         found = front.where(F.col("dst") == end).select("path")
-        done = found if done is None else done.union(found)
+        if not found.isEmpty():
+            done = found if done is None else done.union(found)
         front = front.where(F.col("dst") != end).withColumnRenamed("dst", "at").join(e, F.col("at") == F.col("src")).select("dst", F.concat("path", F.array("edge", "dst")).alias("path"))
     if done is None:
         raise ValueError(f"no path leads from {begin} to {end}")

@@ -139,6 +139,15 @@ def test_no_path_raises(spark):
         graph.sequences(graphs.edges(spark), "out", "in")
 
 
+def test_paths_of_any_length(spark):
+    """A path of 66 edges beside a short one; a cycle on the way raises."""
+    line = [(f"n{i}", 0, f"n{i + 1}", 0) for i in range(66)]
+    e = spark.createDataFrame([*line, ("n0", 1, "n66", 1)], "src string, out_gate int, dst string, in_gate int")
+    assert sorted(r.n_elements for r in graph.sequences(e, "n0", "n66").collect()) == [3, 133]
+    with pytest.raises(ValueError, match="cycle"):
+        graph.sequences(graphs.cyclic(spark), "a", "e")
+
+
 def test_components_of_a_long_line(spark):
     n = 200
     e = spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))

@@ -235,3 +235,18 @@ def order_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").where("o_custkey % 10 = 1").select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("o"), "o_orderkey").alias("dst"))
     li = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.concat(F.lit("o"), "l_orderkey"), F.concat(F.lit("s"), "l_suppkey"))
     return graph.reach(o.union(li), spark.createDataFrame([("c1",)], "node string"))
+
+
+@query()
+def supply_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of parts and suppliers over all line items; ``supply_components`` takes a part of them, as its SQL does."""
+    e = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
+    return graph.components(e.select(F.col("src").alias("node")).union(e.select("dst")), e)
+
+
+@query()
+def order_reach_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a customer's vertex reaches over all orders and line items; ``order_reach`` takes a part of them, as its SQL does."""
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("o"), "o_orderkey").alias("dst"))
+    li = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("o"), "l_orderkey"), F.concat(F.lit("s"), "l_suppkey"))
+    return graph.reach(o.union(li), spark.createDataFrame([("c1",)], "node string"))

@@ -155,6 +155,33 @@ def test_components_of_a_long_line(spark):
     assert {r.node: r.component for r in got} == {i: 0 if i <= n else i for i in range(n + 2)}
 
 
+def test_graphs_of_whole_tables(spark, sf_dir):
+    """Reach and components over all edges, against plain Python."""
+    o = [(f"c{r[0]}", f"o{r[1]}") for r in spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderkey").collect()]
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey").collect()
+    out, ties = {}, {}
+    for a, b in [*o, *((f"o{r[0]}", f"s{r[2]}") for r in li)]:
+        out.setdefault(a, set()).add(b)
+    for r in li:
+        ties.setdefault(f"p{r[1]}", set()).add(f"s{r[2]}")
+        ties.setdefault(f"s{r[2]}", set()).add(f"p{r[1]}")
+
+    def reached(start, steps):
+        seen, front = {start}, [start]
+        while front:
+            new = steps.get(front.pop(), set()) - seen
+            seen |= new
+            front += new
+        return seen
+
+    want = {}
+    for n in sorted(ties):
+        if n not in want:
+            want.update(dict.fromkeys(reached(n, ties), n))
+    assert {r.node for r in graphs.order_reach_whole(spark, sf_dir).collect()} == reached("c1", out)
+    assert {r.node: r.component for r in graphs.supply_components_whole(spark, sf_dir).collect()} == want
+
+
 def test_rack_distances(spark):
     nodes = {"node01": "root/m1/r1/node01", "node02": "root/m1/r1/node02", "node05": "root/m1/r2/node05", "node11": "root/m2/r3/node11", "rack1": "root/m1/r1"}
     df = spark.createDataFrame([(nodes[a], nodes[b], d) for a, b, d in [("node01", "node01", 0), ("node01", "node02", 2), ("node01", "node05", 4), ("node01", "node11", 6), ("rack1", "node01", 1)]], "a string, b string, want int")

@@ -1,59 +1,76 @@
-"""Byte-level BPE encoding and decoding as a tree reduction over pieces of text."""
+"""Byte-level BPE encoding and decoding as a tree reduction over texts."""
 
 from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Callable, Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import without
 
-#: Byte strings up to this length are encoded directly; longer ones are halved.
-LEAF = 48
-#: Parts of texts that a worker remembers; a full memory is emptied.
-REMEMBERED = 500_000
-#: Bytes of text that go into one output batch, about; a longer document is a batch of its own.
-BATCH_BYTES = 4 << 20
-#: White space and then a space: there the pattern may match across the place before the space.
-_LOOSE = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
+#: Characters of text, bytes of a pretoken and ids that are handled in one go; more of them are halved.
+LEAF_CHARS, LEAF, LEAF_IDS = 512, 48, 4096
+#: Pretokens of at most LEAF characters that an encoder remembers, twice at most: about 15 MB each.
+REMEMBERED = 70_000
+#: Pairs of tokens whose stability it remembers.
+PAIRS = 20_000
+#: Bytes of ids that go into one output batch, about; a longer document is a batch of its own.
+BATCH_BYTES = 2 << 20
 
 
 class _Memory(dict):
-    """Encodings of parts of texts, made when first asked for. Only words are kept: other parts seldom come again."""
+    """Encodings of pretokens, made when first asked for. When it is full, those not asked for since it was last full go."""
 
     def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
-    def __missing__(self, part: str) -> bytes:
-        ids = self.make(part)
-        if len(part) <= LEAF and (part.isalpha() or len(part) < 4):
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.make(piece)
+        if len(piece) <= LEAF:
             if len(self) >= REMEMBERED:
+                self.old = self.copy()
                 self.clear()
-            self[part] = ids
+            self[piece] = ids
         return ids
 
 
+class Part(NamedTuple):
+    """The encoding of a stretch of a text on its own: where its pretokens end in the text, how many bytes of ids each of
+    them has, and the ids, 32 bits each in the machine's order, so that joining is concatenation."""
+
+    ends: array
+    sizes: array
+    ids: bytes
+
+
 class ByteBpe:
     """Encoder and decoder for one vocabulary.
 
     ``ranks`` are the lines of a rank file (base64 of the token's bytes, its rank); ``pattern`` cuts a text into
-    pretokens, which are encoded one by one, without special tokens.
+    pretokens, which are encoded one by one, without special tokens. Of a pattern it takes: its matches leave no
+    character out, nothing in it looks back or for line ends, and no match depends on what comes more than ``reach``
+    characters after its end (a run of one class and what follows it, a contraction). Others raise ValueError.
     """
 
-    def __init__(self, ranks: bytes, pattern: str):
+    def __init__(self, ranks: bytes, pattern: str, reach: int = 4):
         import regex
 
+        if regex.search(r"\(\?<[=!]|\\[AbBGKmMzZ]|(?<![\[\\])\^|(?<!\\)\$", pattern):
+            raise ValueError("the pattern looks back or for edges of the text: parts of a text can't be matched on their own")
         self.rank = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
         self.token = {r: b for b, r in self.rank.items()}
-        self.find = regex.compile(pattern).findall
+        self.pattern, self.reach = regex.compile(pattern), reach
         self.agree: dict[tuple[int, int], bool] = {}
-        self.first = _Memory(lambda part: self.piece(part))
-        self.later = _Memory(self._after_space)
-        self.marks = _Memory(self.one)
+        self.known = _Memory(self.one)
 
     # -- the reduction over the bytes of one pretoken
 
@@ -62,16 +79,16 @@ class ByteBpe:
         if len(piece) > 2 * LEAF:
             return self._merge_long(piece)
         rank, top = self.rank.get, 1 << 60
-        starts, ends = list(range(len(piece))), list(range(1, len(piece) + 1))
+        edges = list(range(len(piece) + 1))
         ranks = [rank(piece[i : i + 2], top) for i in range(len(piece) - 1)]
         while ranks and (best := min(ranks)) < top:
             i = ranks.index(best)
-            del ranks[i], starts[i + 1], ends[i]
+            del ranks[i], edges[i + 1]
             if i < len(ranks):
-                ranks[i] = rank(piece[starts[i] : ends[i + 1]], top)
+                ranks[i] = rank(piece[edges[i] : edges[i + 2]], top)
             if i:
-                ranks[i - 1] = rank(piece[starts[i - 1] : ends[i]], top)
-        return [self.rank[piece[a:b]] for a, b in zip(starts, ends, strict=True)]
+                ranks[i - 1] = rank(piece[edges[i - 1] : edges[i + 1]], top)
+        return [self.rank[piece[a:b]] for a, b in zip(edges, edges[1:], strict=False)]
 
     def _merge_long(self, piece: bytes) -> list[int]:
         """The same with a heap of candidate merges, for windows that have grown."""
@@ -95,21 +112,21 @@ class ByteBpe:
     def stable(self, a: int, b: int) -> bool:
         """Whether tokens a and b stay two tokens side by side. If all neighbours in a row do, the row is the encoding."""
         if (known := self.agree.get((a, b))) is None:
-            if len(self.agree) >= REMEMBERED:
+            if len(self.agree) >= PAIRS:
                 self.agree.clear()
             known = self.agree[a, b] = self.merge(self.token[a] + self.token[b]) == [a, b]
         return known
 
-    def join(self, left: list[int], right: list[int]) -> list[int]:
+    def join(self, left: Sequence[int], right: Sequence[int]) -> list[int]:
         """Encoding of two byte strings in a row, from theirs: the window at the seam is encoded anew and grows on the
         side where its edge and the token outside are not stable."""
         i, j = min(1, len(left)), min(1, len(right))
         while True:
-            window = self.merge(b"".join(self.token[t] for t in left[len(left) - i :] + right[:j]))
+            window = self.merge(b"".join(self.token[t] for t in [*left[len(left) - i :], *right[:j]]))
             grow_left = i < len(left) and not self.stable(left[-i - 1], window[0])
             grow_right = j < len(right) and not self.stable(window[-1], right[j])
             if not grow_left and not grow_right:
-                return left[: len(left) - i] + window + right[j:]
+                return [*left[: len(left) - i], *window, *right[j:]]
             i = min(len(left), 2 * i) if grow_left else i
             j = min(len(right), 2 * j) if grow_right else j
 
@@ -120,60 +137,86 @@ class ByteBpe:
         half = len(piece) // 2
         return self.join(self.reduce(piece[:half]), self.reduce(piece[half:]))
 
-    # -- whole texts; ids travel as 32-bit little-endian bytes, so that joining is concatenation
-
     def one(self, pretoken: str) -> bytes:
         raw = pretoken.encode()
         whole = self.rank.get(raw)
-        return b"".join(t.to_bytes(4, "little") for t in ([whole] if whole is not None else self.reduce(raw)))
-
-    def _after_space(self, part: str) -> bytes:
-        """A space and ``part``. Letters are one pretoken with the space, and one other character after them is its own."""
-        if part.isalpha():
-            return self.one(" " + part)
-        if part[:-1].isalpha():
-            return self.later[part[:-1]] + self.marks[part[-1]]
-        return self.piece(" " + part)
-
-    def piece(self, text: str) -> bytes:
-        return b"".join([self.later[w[1:]] if w[0] == " " and w[1:].isalpha() else self.marks[w] for w in self.find(text)])
+        return array("i", [whole] if whole is not None else self.reduce(raw)).tobytes()
+
+    # -- the reduction over the characters of a text
+
+    def leaf(self, text: str, a: int, b: int) -> Part:
+        pieces = self.pattern.findall(text, a, b)
+        coded = list(map(self.known.__getitem__, pieces))
+        ends = array("q", accumulate(map(len, pieces), initial=a))
+        if ends.pop(0) != a or (ends[-1] if ends else a) != b:
+            raise ValueError("the pattern leaves characters out")
+        return Part(ends, array("q", map(len, coded)), b"".join(coded))
+
+    def join_parts(self, text: str, a: int, left: Part, seam: int, right: Part, b: int) -> Part:
+        """Encoding of text[a:b] from those of text[a:seam] and text[seam:b].
+
+        Pretokens that end ``reach`` or more before the seam stay: what they depend on was there. From the first other
+        one on, the window of text is matched anew, and grows until a match begins where one of the right part does:
+        from there on all matches are those of the right part. A pretoken across the seam is joined from the tokens on
+        both sides of it.
+        """
+        keep = len(left.ends)
+        while keep and left.ends[keep - 1] > seam - self.reach:
+            keep -= 1
+        start = left.ends[keep - 1] if keep else a
+        ends, coded, skip, next_start = array("q"), [], 0, seam
+        for m in self.pattern.finditer(text, start, b):
+            s, e = m.span()
+            while skip < len(right.ends) and next_start < s:
+                next_start = right.ends[skip]
+                skip += 1
+            if s == next_start:
+                break
+            coded.append(self._across(text, a, s, left, seam, right, e) if s < seam < e else self.known[m.group()])
+            ends.append(e)
+        else:
+            skip = len(right.ends)
+        gone, done = sum(left.sizes[keep:]), sum(right.sizes[:skip])
+        return Part(
+            left.ends[:keep] + ends + right.ends[skip:],
+            left.sizes[:keep] + array("q", map(len, coded)) + right.sizes[skip:],
+            b"".join([left.ids[: len(left.ids) - gone], *coded, right.ids[done:]]),
+        )
+
+    def _across(self, text: str, a: int, s: int, left: Part, seam: int, right: Part, e: int) -> bytes:
+        """Ids of the pretoken text[s:e] with the seam inside: joined from pretokens that end and begin there, if so."""
+        last = (left.ends[-2] if len(left.ends) > 1 else a) == s
+        ids = [array("i"), array("i")]
+        ids[0].frombytes(left.ids[len(left.ids) - left.sizes[-1] :] if last else self.known[text[s:seam]])
+        ids[1].frombytes(right.ids[: right.sizes[0]] if right.ends[0] == e else self.known[text[seam:e]])
+        return array("i", self.join(*ids)).tobytes()
+
+    def part(self, text: str, a: int, b: int) -> Part:
+        """Encode halves and join them."""
+        if b - a <= LEAF_CHARS:
+            return self.leaf(text, a, b)
+        seam = (a + b) // 2
+        return self.join_parts(text, a, self.part(text, a, seam), seam, self.part(text, seam, b), b)
 
     def encode(self, text: str) -> bytes:
-        """Ids of a text. Cut before each space that follows something else than white space: no match of the pattern
-        crosses such a place and none looks back over it, so the parts' encodings just concatenate."""
-        parts = text.split(" ")
-        if text[:1] == " " or any(x in text for x in _LOOSE):
-            joined = [parts[0]]
-            for p in parts[1:]:
-                if not joined[-1] or joined[-1][-1].isspace():
-                    joined[-1] += " " + p
-                else:
-                    joined.append(p)
-            parts = joined
-        return self.first[parts[0]] + b"".join(map(self.later.__getitem__, parts[1:]))
-
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids))
-
-
-_LOADED: dict[tuple[int, str], ByteBpe] = {}
-
+        return self.part(text, 0, len(text)).ids
 
-def _loaded(ranks: bytes, pattern: str) -> ByteBpe:
-    """One encoder for each vocabulary and worker, so that its memory serves all tasks."""
-    key = (hash(ranks), pattern)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = ByteBpe(ranks, pattern)
-    return _LOADED[key]
+    def decode(self, ids: Sequence[int]) -> bytes:
+        """The bytes of ids, concatenated up the tree."""
+        if len(ids) <= LEAF_IDS:
+            return b"".join(map(self.token.__getitem__, ids))
+        half = len(ids) // 2
+        return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
 def byte_bpe(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = "decoded") -> DataFrame:
     """``docs`` with the column ``ids`` (array of int) and, unless None, ``decoded`` (binary: what the ids say again).
 
     Null texts count as empty: no ids, no bytes. Columns that already have these names are replaced, others kept;
-    repeated rows are encoded like any others, an empty table gives no rows. Texts are never cut off; rows stay in
-    their partitions, nothing is shuffled. ``ranks_path`` is read once, by the driver, and sent to the executors.
+    repeated rows are encoded like any others, an empty table gives no rows. Texts are never cut off: a long one takes
+    memory in proportion to its length, a few dozen bytes a word. Rows stay in their partitions, nothing is shuffled.
+    ``ranks_path`` is read once, by the driver, and sent to the executors; each task makes an encoder of its own and
+    drops it with its memory, which is bounded.
     """
     import numpy as np
     from pyspark.sql import types as T
@@ -185,7 +228,7 @@ def byte_bpe(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text",
     carried = [c for c in kept.columns if c.lower() not in {f.name.lower() for f in new}]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _loaded(sent.value, pattern)
+        bpe = ByteBpe(sent.value, pattern)
         for batch in batches:
             column = batch.column(text)
             start, size, rows = 0, 0, []
@@ -194,7 +237,7 @@ def byte_bpe(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text",
                 rows.append(one)
                 size += len(one)
                 if size >= BATCH_BYTES or n + 1 == batch.num_rows:
-                    flat = np.frombuffer(b"".join(rows), "<i4")
+                    flat = np.frombuffer(b"".join(rows), np.int32)
                     ends = np.cumsum([0] + [len(r) // 4 for r in rows], dtype=np.int32)
                     arrays = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
                     if decoded:

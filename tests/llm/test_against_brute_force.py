@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import random
 import re
 from collections import Counter, defaultdict
@@ -10,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from streamloom.llm import bpe
 from streamloom.llm import queries as q
 from streamloom.llm.bpe import ByteBpe
 from streamloom.llm.common import held_out
@@ -200,23 +202,50 @@ def test_licenses(docs):
     assert got == want and want
 
 
-def test_bpe_like_the_library(docs):
-    tiktoken = pytest.importorskip("tiktoken")
+@pytest.fixture(scope="module")
+def own_bpe():
     path, pattern = q.tokenizer()
     with open(path, "rb") as f:
-        own = ByteBpe(f.read(), pattern)
-    lib = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=own.rank, special_tokens={})
-    rng = random.Random(4)
+        return ByteBpe(f.read(), pattern)
+
+
+@pytest.mark.parametrize("leaf", [1, 3, 20, 512])
+def test_bpe_like_the_library(docs, own_bpe, leaf, monkeypatch):
+    """Ids equal the library's wherever texts are halved, and ordinary documents are joined at their seams."""
+    tiktoken = pytest.importorskip("tiktoken")
+    monkeypatch.setattr(bpe, "LEAF_CHARS", leaf)
+    seams = []
+    monkeypatch.setattr(own_bpe, "join", lambda left, right: seams.append(1) or ByteBpe.join(own_bpe, left, right))
+    lib = tiktoken.Encoding("own", pat_str=q.tokenizer()[1], mergeable_ranks=own_bpe.rank, special_tokens={})
+    rng = random.Random(leaf)
     pieces = ["a", "b", "e", " ", "  ", "\n", "é", "1", "'", "s", "t", "'ll", "\t", "!", "\xa0", "\x1c", "漢", "😀", "th", "the", "ing", "́", "²", "\r\n"]
-    texts = ["".join(rng.choices(pieces, k=rng.randrange(60))) for _ in range(5000)]
-    texts += [x * n for n in (100, 3000) for x in ("a", "ab", "the", " ", "é", "!", "漢", "e ")] + [r.text for r in docs.select("text").collect()]
+    texts = ["".join(rng.choices(pieces, k=rng.randrange(60))) for _ in range(2000)]
+    texts += [x * n for n in (100, 3000) for x in ("a", "ab", "the", " ", "é", "!", "漢", "e ", "'s")]
     for t in texts:
-        assert np.frombuffer(own.encode(t), "<i4").tolist() == lib.encode_ordinary(t)
-        assert own.decode(lib.encode_ordinary(t)).decode() == t
+        assert np.frombuffer(own_bpe.encode(t), np.int32).tolist() == lib.encode_ordinary(t)
+        assert own_bpe.decode(lib.encode_ordinary(t)).decode() == t
+    seams.clear()
+    rows = [r.text for r in docs.where("text IS NOT NULL").select("text").collect()]
+    for t in rows if leaf > 3 else rows[:20]:
+        assert np.frombuffer(own_bpe.encode(t), np.int32).tolist() == lib.encode_ordinary(t)
+    assert len(seams) > 200
+
+
+def test_bpe_joins_anywhere(own_bpe):
+    rng = random.Random(9)
     for n in (1, 7, 48, 49, 500):
         raw = "".join(rng.choices("aeinst", k=n)).encode()
         for cut in range(0, n, max(1, n // 9)):
-            assert own.join(own.reduce(raw[:cut]), own.reduce(raw[cut:])) == own.merge(raw)
+            assert own_bpe.join(own_bpe.reduce(raw[:cut]), own_bpe.reduce(raw[cut:])) == own_bpe.merge(raw)
+
+
+def test_bpe_patterns(own_bpe):
+    ranks = b"\n".join(base64.b64encode(t) + b" %d" % r for t, r in own_bpe.rank.items())
+    for pattern in (r"(?<=a)b|.", r"\ba|.", r"^a|.", r"a$|."):
+        with pytest.raises(ValueError):
+            ByteBpe(ranks, pattern)
+    with pytest.raises(ValueError):
+        ByteBpe(ranks, r"[a-z]+").encode("ab cd")
 
 
 @pytest.mark.parametrize(("name", "least"), [("op3_toxicity", 0.9), ("op7_language", 0.95)])

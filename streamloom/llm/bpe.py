@@ -6,22 +6,25 @@ import base64
 import heapq
 from array import array
 from collections.abc import Callable, Iterator, Sequence
-from itertools import accumulate
+from itertools import accumulate, chain
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import without
 
 #: Characters of text, bytes of a pretoken and ids that are handled in one go; more of them are halved.
-LEAF_CHARS, LEAF, LEAF_IDS = 512, 48, 4096
+LEAF_CHARS, LEAF, LEAF_IDS = 1024, 48, 4096
 #: Pretokens of at most LEAF characters that an encoder remembers, twice at most: about 15 MB each.
 REMEMBERED = 70_000
 #: Pairs of tokens whose stability it remembers.
 PAIRS = 20_000
-#: Bytes of ids that go into one output batch, about; a longer document is a batch of its own.
-BATCH_BYTES = 2 << 20
+#: Characters of text that are encoded at a time, about, and pretokens that are merged at a time.
+CHUNK_CHARS, ABREAST = 1 << 19, 4096
+#: Rank of a pair that is no token.
+NONE = np.int32(2**31 - 1)
 
 
 class _Memory(dict):
@@ -36,12 +39,15 @@ class _Memory(dict):
         if ids is None:
             ids = self.make(piece)
         if len(piece) <= LEAF:
-            if len(self) >= REMEMBERED:
-                self.old = self.copy()
-                self.clear()
+            self.room(1)
             self[piece] = ids
         return ids
 
+    def room(self, n: int) -> None:
+        if len(self) + n > REMEMBERED:
+            self.old = self.copy()
+            self.clear()
+
 
 class Part(NamedTuple):
     """The encoding of a stretch of a text on its own: where its pretokens end in the text, how many bytes of ids each of
@@ -52,6 +58,15 @@ class Part(NamedTuple):
     ids: bytes
 
 
+def halves(a: int, b: int) -> Iterator[tuple[int, int]]:
+    """The leaves of the tree over the characters from a to b."""
+    if b - a <= LEAF_CHARS:
+        yield a, b
+    else:
+        yield from halves(a, (a + b) // 2)
+        yield from halves((a + b) // 2, b)
+
+
 class ByteBpe:
     """Encoder and decoder for one vocabulary.
 
@@ -71,6 +86,11 @@ class ByteBpe:
         self.pattern, self.reach = regex.compile(pattern), reach
         self.agree: dict[tuple[int, int], bool] = {}
         self.known = _Memory(self.one)
+        # Pairs of tokens that make a token, as sorted numbers, and its rank; a token's number is its rank.
+        pairs = {(a << 32) + b: r for t, r in self.rank.items() for i in range(1, len(t)) if (a := self.rank.get(t[:i])) is not None and (b := self.rank.get(t[i:])) is not None}
+        self.pairs = np.sort(np.fromiter(pairs, np.int64, len(pairs)))
+        self.makes = np.array([pairs[p] for p in self.pairs.tolist()] + [NONE], np.int32)
+        self.bytes = np.array([self.rank[bytes([x])] for x in range(256)], np.int32)
 
     # -- the reduction over the bytes of one pretoken
 
@@ -137,6 +157,56 @@ class ByteBpe:
         half = len(piece) // 2
         return self.join(self.reduce(piece[:half]), self.reduce(piece[half:]))
 
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of the tokens that pairs make, NONE if none; b is -1 where there is no neighbour."""
+        key = (a.astype(np.int64) << 32) + b
+        at = np.searchsorted(self.pairs, key)
+        at[self.pairs[np.minimum(at, len(self.pairs) - 1)] != key] = len(self.pairs)
+        return self.makes[at]
+
+    def merge_abreast(self, pieces: list[bytes]) -> list[bytes]:
+        """As ``merge``, for many short byte strings side by side: each round merges one pair of each of them."""
+        sizes = np.array([len(p) for p in pieces])
+        wide = np.arange(int(sizes.max()) + 1)
+        inside = wide[None, :] < sizes[:, None]
+        ids = np.full(inside.shape, -1, np.int32)
+        ids[inside] = self.bytes[np.frombuffer(b"".join(pieces), np.uint8)]
+        ranks = np.full(inside.shape, NONE, np.int32)
+        paired = inside[:, 1:]
+        ranks[:, :-1][paired] = self._ranks(ids[:, :-1][paired], ids[:, 1:][paired])
+        out, row = np.full_like(ids, -1), np.arange(len(pieces))
+        while len(row):
+            here = np.arange(len(row))
+            i = ranks.argmin(axis=1)
+            best = ranks[here, i]
+            if (over := best == NONE).any():
+                out[row[over], : ids.shape[1]] = ids[over]
+                left = ~over
+                row, ids, ranks, i, best = row[left], ids[left], ranks[left], i[left], best[left]
+                here = np.arange(len(row))
+            # Take the right one of the pair out, then look its neighbours up anew.
+            right = wide[None, : ids.shape[1] - 1] > i[:, None]
+            ids[:, :-1] = np.where(right, ids[:, 1:], ids[:, :-1])
+            ranks[:, :-1] = np.where(right, ranks[:, 1:], ranks[:, :-1])
+            ids, ranks = ids[:, :-1], ranks[:, :-1]
+            ids[here, i] = best
+            behind = np.minimum(i + 1, ids.shape[1] - 1)
+            ranks[here, i] = self._ranks(best, np.where(behind > i, ids[here, behind], -1))
+            inner = i > 0
+            ranks[here[inner], i[inner] - 1] = self._ranks(ids[here[inner], i[inner] - 1], best[inner])
+        flat, ends = out[out >= 0].tobytes(), 4 * np.cumsum((out >= 0).sum(axis=1))
+        return [flat[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+
+    def learn(self, pretokens: set[str]) -> None:
+        """Encode those that are not known."""
+        fresh = [p for p in pretokens.difference(self.known) if p not in self.known.old and len(p) <= LEAF]
+        raws = [p.encode() for p in fresh]
+        todo = sorted([(len(r), r, p) for r, p in zip(raws, fresh, strict=True) if r not in self.rank and len(r) <= LEAF])
+        self.known.room(len(todo))
+        for at in range(0, len(todo), ABREAST):
+            part = todo[at : at + ABREAST]
+            self.known.update(zip([p for _, _, p in part], self.merge_abreast([r for _, r, _ in part]), strict=True))
+
     def one(self, pretoken: str) -> bytes:
         raw = pretoken.encode()
         whole = self.rank.get(raw)
@@ -144,8 +214,7 @@ class ByteBpe:
 
     # -- the reduction over the characters of a text
 
-    def leaf(self, text: str, a: int, b: int) -> Part:
-        pieces = self.pattern.findall(text, a, b)
+    def leaf(self, pieces: list[str], a: int, b: int) -> Part:
         coded = list(map(self.known.__getitem__, pieces))
         ends = array("q", accumulate(map(len, pieces), initial=a))
         if ends.pop(0) != a or (ends[-1] if ends else a) != b:
@@ -191,15 +260,22 @@ class ByteBpe:
         ids[1].frombytes(right.ids[: right.sizes[0]] if right.ends[0] == e else self.known[text[seam:e]])
         return array("i", self.join(*ids)).tobytes()
 
-    def part(self, text: str, a: int, b: int) -> Part:
-        """Encode halves and join them."""
+    def part(self, text: str, a: int, b: int, leaves: Iterator[list[str]]) -> Part:
+        """Encode halves and join them; ``leaves`` has the pretokens of one leaf after the other."""
         if b - a <= LEAF_CHARS:
-            return self.leaf(text, a, b)
+            return self.leaf(next(leaves), a, b)
         seam = (a + b) // 2
-        return self.join_parts(text, a, self.part(text, a, seam), seam, self.part(text, seam, b), b)
+        left = self.part(text, a, seam, leaves)
+        return self.join_parts(text, a, left, seam, self.part(text, seam, b, leaves), b)
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of some texts: new pretokens of all their leaves are merged side by side, then each text's tree is joined."""
+        leaves = [[self.pattern.findall(t, a, b) for a, b in halves(0, len(t))] for t in texts]
+        self.learn(set(chain.from_iterable(chain.from_iterable(leaves))))
+        return [self.part(t, 0, len(t), iter(found)).ids for t, found in zip(texts, leaves, strict=True)]
 
     def encode(self, text: str) -> bytes:
-        return self.part(text, 0, len(text)).ids
+        return self.encode_all([text])[0]
 
     def decode(self, ids: Sequence[int]) -> bytes:
         """The bytes of ids, concatenated up the tree."""
@@ -218,7 +294,6 @@ def byte_bpe(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text",
     ``ranks_path`` is read once, by the driver, and sent to the executors; each task makes an encoder of its own and
     drops it with its memory, which is bounded.
     """
-    import numpy as np
     from pyspark.sql import types as T
 
     with open(ranks_path, "rb") as f:
@@ -230,22 +305,21 @@ def byte_bpe(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe(sent.value, pattern)
         for batch in batches:
-            column = batch.column(text)
-            start, size, rows = 0, 0, []
-            for n in range(batch.num_rows):
-                one = bpe.encode(column[n].as_py() or "")
-                rows.append(one)
-                size += len(one)
-                if size >= BATCH_BYTES or n + 1 == batch.num_rows:
-                    flat = np.frombuffer(b"".join(rows), np.int32)
-                    ends = np.cumsum([0] + [len(r) // 4 for r in rows], dtype=np.int32)
-                    arrays = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
-                    if decoded:
-                        listed = flat.tolist()
-                        arrays.append(pa.array([bpe.decode(listed[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary()))
-                    part = batch.slice(start, n + 1 - start)
-                    yield pa.RecordBatch.from_arrays([part.column(c) for c in carried] + arrays, names=[*carried, *[f.name for f in new]])
-                    start, size, rows = n + 1, 0, []
+            column, start = batch.column(text), 0
+            while start < batch.num_rows:
+                texts, size = [], 0
+                while start + len(texts) < batch.num_rows and (not texts or size < CHUNK_CHARS):
+                    texts.append(column[start + len(texts)].as_py() or "")
+                    size += len(texts[-1])
+                rows = bpe.encode_all(texts)
+                flat, ends = np.frombuffer(b"".join(rows), np.int32), np.cumsum([0] + [len(r) // 4 for r in rows], dtype=np.int32)
+                arrays = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+                if decoded:
+                    listed = flat.tolist()
+                    arrays.append(pa.array([bpe.decode(listed[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary()))
+                part = batch.slice(start, len(texts))
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in carried] + arrays, names=[*carried, *[f.name for f in new]])
+                start += len(texts)
 
     schema = T.StructType([*[docs.schema[c] for c in carried], *new])
     return docs.select(*carried, *([text] if text not in carried else [])).mapInArrow(run, schema)

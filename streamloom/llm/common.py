@@ -14,6 +14,8 @@ SPACE_RE = r"[\x20\x09-\x0D]+"
 
 #: A side of a join is broadcast only if it has been counted and has at most this many rows.
 BROADCAST_ROWS = 200_000
+#: Keys that meet more rows than this are joined by broadcasting the other side's row.
+HOT = 20_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +49,24 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def join_once(rows: DataFrame, table: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left) with ``table``, which has one row for each ``key`` and says in ``size`` how many rows
+    that one meets; ``size`` is dropped.
+
+    A small table is broadcast. Of a large one, the keys with over ``HOT`` rows are, of which there are few, and the others
+    meet their rows by a shuffle: no task gets all rows of a hot key.
+    """
+    table = cut(table)
+    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), key, how).drop(size)
+    hot = table.where(F.col(size) > HOT)
+    if hot.isEmpty():
+        return rows.join(table, key, how).drop(size)
+    spread = rows.join(small(hot), key)
+    rest = rows.join(small(hot.select(key)), key, "left_anti").join(table.where(F.col(size) <= HOT), key, how)
+    return spread.unionByName(rest).drop(size)
+
+
 def words_of(text: Column) -> Column:
     """The words of a text; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_RE), lambda w: w != "")

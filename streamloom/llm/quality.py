@@ -8,24 +8,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, shingles_of, small, words_of
+from .common import cut, join_once, shingles_of, words_of
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 #: Share of a group whose scatter is smallest: the h-subset of the minimum covariance determinant.
 SUBSET = 0.75
-#: Concentration steps after the start from medians and absolute deviations.
-STEPS = 3
+#: Concentration steps from each start before the best start goes on alone, and the least gain of a further step (in the
+#: logarithm of the determinant).
+FIRST_STEPS, GAIN = 2, 1e-6
 #: Quantiles of chi squared with four degrees of freedom, at SUBSET and at 0.9999 (the cut-off): fixed values.
 CHI2_SUBSET, CHI2_CUT = 5.385, 23.51
-#: Smaller groups are judged by the fit of all rows of their language, languages under it by the fit of all rows.
-LEAST_GROUP = 200
-#: Least standard deviation of each statistic: below it, differences don't matter.
+#: Rows that a group's language weighs in its estimate, and all rows weigh in a language's.
+PRIOR_ROWS = 50
+#: Least standard deviation of each statistic: below it, differences don't matter. Its square is added to each variance.
 FLOORS = (0.06, 0.04, 0.12, 0.05)
 DIMS = len(FLOORS)
 VECTOR = [f"x{i}" for i in range(DIMS)]
-#: Bins of squared distance: this many for each doubling, between 2**LOW and 2**HIGH.
-PER_OCTAVE, LOW, HIGH = 8, -12, 24
+#: Bins of squared distance: this many for each doubling, between 2**LOW and 2**HIGH, and parts of one bin.
+PER_OCTAVE, LOW, HIGH, PARTS = 8, -12, 24, 4096
 
 
 def _with_statistics(docs: DataFrame, text: str) -> DataFrame:
@@ -102,8 +103,10 @@ def _cholesky(c: dict[tuple[int, int], Column]) -> dict[tuple[int, int], Column]
 
 
 PAIRS = [(i, j) for i in range(DIMS) for j in range(i + 1)]
-FACTORS = [f"l{i}{j}" for i, j in PAIRS]
 CENTRES = [f"m{i}" for i in range(DIMS)]
+SCATTER = [f"c{i}{j}" for i, j in PAIRS]
+FACTORS = [f"l{i}{j}" for i, j in PAIRS]
+SUMS = ["k", *[f"s{i}" for i in range(DIMS)], *[f"s{i}{j}" for i, j in PAIRS]]
 
 
 def _distance() -> Column:
@@ -115,59 +118,118 @@ def _distance() -> Column:
     return reduce(lambda a, b: a + b, [v * v for v in z])
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Centre: medians. Scatter: diagonal of the interquartile ranges, with floors."""
-    q = rows.groupBy("g").agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(x) for x in VECTOR])
-    spread = [F.greatest((F.get(x, F.lit(2)) - F.get(x, F.lit(0))) / 1.349, F.lit(f)) for x, f in zip(VECTOR, FLOORS, strict=True)]
-    return q.select("g", *[F.get(x, F.lit(1)).alias(m) for x, m in zip(VECTOR, CENTRES, strict=True)], *[(spread[i] if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in PAIRS])
+def _factored(fit: DataFrame) -> DataFrame:
+    """With the Cholesky factor of the scatter and the logarithm of its determinant."""
+    low = _cholesky({(i, j): F.col(f"c{i}{j}") for i, j in PAIRS})
+    return fit.withColumns({f"l{i}{j}": low[i, j] for i, j in PAIRS}).withColumn("logdet", reduce(lambda a, i: a + 2 * F.log(F.col(f"l{i}{i}")), range(DIMS), F.lit(0.0)))
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Three deterministic starts of each group ``g``, all around the medians: scales from interquartile ranges, with no
+    correlations, those of hyperbolic tangents, and those of the directions from the centre. ``n``: rows of the group."""
+    q = rows.groupBy("g").agg(F.count("*").alias("n"), *[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(x) for x in VECTOR])
+    scale = [F.greatest((F.get(x, F.lit(2)) - F.get(x, F.lit(0))) / 1.349, F.lit(f)) for x, f in zip(VECTOR, FLOORS, strict=True)]
+    middle = cut(q.select("g", "n", *[F.get(x, F.lit(1)).alias(m) for x, m in zip(VECTOR, CENTRES, strict=True)], *[s.alias(f"d{i}") for i, s in enumerate(scale)]))
+    z = [(F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"d{i}") for i in range(DIMS)]
+    near = join_once(rows, middle, "g", "n").select("g", *[v.alias(f"z{i}") for i, v in enumerate(z)])
+    length = F.sqrt(F.greatest(reduce(lambda a, b: a + b, [F.col(f"z{i}") ** 2 for i in range(DIMS)]), F.lit(1e-12)))
+    kinds = {"t": lambda i: F.tanh(f"z{i}"), "u": lambda i: F.col(f"z{i}") / length}
+    moments = near.groupBy("g").agg(*[F.avg(of(i) * of(j)).alias(f"{name}{i}{j}") for name, of in kinds.items() for i, j in PAIRS])
+    least = F.lit(1e-6)
+
+    def scatter(start: int, name: str | None) -> Column:
+        corr = lambda i, j: F.lit(0.0) if name is None else F.col(f"{name}{i}{j}") / F.sqrt((F.col(f"{name}{i}{i}") + least) * (F.col(f"{name}{j}{j}") + least))
+        return F.struct(F.lit(start).alias("start"), *[((F.lit(1.0) if i == j else corr(i, j)) * F.col(f"d{i}") * F.col(f"d{j}") + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in PAIRS])
+
+    both = middle.join(moments, "g").withColumn("c", F.explode(F.array(scatter(0, None), scatter(1, "t"), scatter(2, "u"))))
+    return _factored(both.select("g", "n", *CENTRES, "c.*"))
+
+
+def _meet(rows: DataFrame, fit: DataFrame, *more: str) -> DataFrame:
+    """Each row with each estimate of its group: its squared distance ``d2`` and the bin of that."""
+    by_group = fit.groupBy("g").agg(F.collect_list(F.struct("start", *CENTRES, *FACTORS, *more)).alias("__fits"), F.max("n").alias("n"))
+    met = join_once(rows, by_group, "g", "n").select("g", *VECTOR, F.explode("__fits").alias("__f")).select("g", *VECTOR, "__f.*")
+    bins = F.least(F.floor(F.log2(F.greatest(F.col("d2"), F.lit(2.0**LOW))) * PER_OCTAVE), F.lit(HIGH * PER_OCTAVE))
+    return met.withColumn("d2", _distance()).select("g", "start", *VECTOR, "d2", bins.alias("bin"), *more)
 
 
 def _step(rows: DataFrame, fit: DataFrame) -> DataFrame:
-    """Concentrate: mean and scatter of the share SUBSET of each group that lies nearest under ``fit``.
+    """Concentrate: mean and scatter of the h = SUBSET n rows of each group that lie nearest under each estimate.
 
-    Rows are summed by bin of distance, so that one pass gives both the threshold and the moments below it.
+    Rows are summed by bin of distance; the rows of the bin in which the h-th lies are summed again by finer parts, and
+    of rows in one part with the h-th (equally far, to 2e-5 of the distance) each counts for an equal share of what is
+    left. So the subset has the weight of h rows exactly, and only sums are shuffled. ``before``: the old determinant.
+    """
+    moments = [F.count("*").cast("double").alias("k"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(VECTOR)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in PAIRS]]
+    w = Window.partitionBy("g", "start")
+    coarse = cut(_meet(rows, fit).groupBy("g", "start", "bin").agg(*moments))
+    placed = coarse.withColumns({"before": F.sum("k").over(w.orderBy("bin")) - F.col("k"), "h": F.ceil(SUBSET * F.sum("k").over(w))})
+    whole = placed.where(F.col("before") + F.col("k") <= F.col("h"))
+    edge = placed.where((F.col("before") < F.col("h")) & (F.col("before") + F.col("k") > F.col("h"))).select("g", "start", F.col("bin").alias("edge"), (F.col("h") - F.col("before")).alias("left"))
+    low = F.pow(F.lit(2.0), F.col("bin") / PER_OCTAVE)
+    part = F.greatest(F.lit(0), F.least(F.lit(PARTS - 1), F.floor((F.col("d2") / low - 1) / (2 ** (1 / PER_OCTAVE) - 1) * PARTS)))
+    fine = _meet(rows, fit.join(edge, ["g", "start"]), "edge", "left").where("bin = edge").withColumn("part", part).groupBy("g", "start", "left", "part").agg(*moments)
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("left") - F.col("before")) / F.col("k")))
+    taken = fine.withColumn("before", F.sum("k").over(w.orderBy("part")) - F.col("k")).withColumn("share", share).select("g", "start", *[(F.col(c) * F.col("share")).alias(c) for c in SUMS])
+    total = whole.select("g", "start", *SUMS).union(taken).groupBy("g", "start").agg(*[F.sum(c).alias(c) for c in SUMS])
+    mean = [F.col(f"s{i}") / F.col("k") for i in range(DIMS)]
+    scatter = [(F.col(f"s{i}{j}") / F.col("k") - mean[i] * mean[j] + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in PAIRS]
+    made = _factored(total.select("g", "start", *[m.alias(c) for m, c in zip(mean, CENTRES, strict=True)], *scatter))
+    return made.join(fit.select("g", "start", "n", F.col("logdet").alias("before")), ["g", "start"])
+
+
+def minimum_determinant(rows: DataFrame) -> DataFrame:
+    """(g, n, m0.., c00.., logdet): the minimum-covariance-determinant estimate of each group of ``rows`` (g, x0..x3).
+
+    From each of the deterministic starts come ``FIRST_STEPS`` concentration steps; the start with the least determinant
+    goes on until a step gains no more than ``GAIN``. The scatter is that of the subset plus the squares of ``FLOORS``,
+    for the steps and the determinant too, so that a statistic that hardly varies does no harm.
     """
-    bin_of = F.floor(F.log2(F.greatest(F.col("d2"), F.lit(2.0**LOW))) * PER_OCTAVE)
-    near = rows.join(small(fit), "g").withColumn("d2", _distance()).withColumn("bin", F.least(bin_of, F.lit(HIGH * PER_OCTAVE)))
-    sums = near.groupBy("g", "bin").agg(F.count("*").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(VECTOR)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in PAIRS])
-    w = Window.partitionBy("g")
-    # Bins before the h-th row and the one that holds it.
-    inside = sums.withColumns({"before": F.sum("n").over(w.orderBy("bin")) - F.col("n"), "all": F.sum("n").over(w)}).where(F.col("before") < SUBSET * F.col("all"))
-    total = inside.groupBy("g").agg(*[F.sum(c).alias(c) for c in ["n", *[f"s{i}" for i in range(DIMS)], *[f"s{i}{j}" for i, j in PAIRS]]])
-    mean = [F.col(f"s{i}") / F.col("n") for i in range(DIMS)]
-    cov = {(i, j): F.col(f"s{i}{j}") / F.col("n") - mean[i] * mean[j] + (F.lit(FLOORS[i] ** 2) if i == j else F.lit(0.0)) for i, j in PAIRS}
-    low = _cholesky(cov)
-    return total.select("g", *[m.alias(c) for m, c in zip(mean, CENTRES, strict=True)], *[low[p].alias(f"l{p[0]}{p[1]}") for p in PAIRS])
+    fit = cut(_starts(rows))
+    for _ in range(FIRST_STEPS):
+        fit = cut(_step(rows, fit))
+    best = Window.partitionBy("g").orderBy("logdet", "start")
+    active, done = fit.withColumn("__at", F.row_number().over(best)).where("__at = 1").drop("__at"), None
+    while True:
+        fit = cut(_step(rows, cut(active)))
+        ended = fit.where(F.col("logdet") >= F.col("before") - GAIN)
+        done = ended if done is None else done.unionByName(ended)
+        active = fit.where(F.col("logdet") < F.col("before") - GAIN)
+        if active.isEmpty():
+            return cut(done.select("g", "n", *CENTRES, *SCATTER, "logdet"))
+
+
+def _shrunk(own: DataFrame, wider: DataFrame, key: str) -> DataFrame:
+    """Estimates ``own`` mixed with those of the wider group that their column ``key`` names; it weighs PRIOR_ROWS rows."""
+    parts = [*CENTRES, *SCATTER]
+    named = wider.select(F.col("g").alias("__g"), *[F.col(c).alias(f"w_{c}") for c in parts])
+    n = F.col("n")
+    return own.join(named, F.col(key) == F.col("__g")).withColumns({c: (n * F.col(c) + PRIOR_ROWS * F.col(f"w_{c}")) / (n + PRIOR_ROWS) for c in parts}).drop("__g", *[f"w_{c}" for c in parts])
 
 
 def quality_rules(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """Judge every document: ``keys``, the statistics, ``base_failed``, ``distance`` (squared Mahalanobis) and ``kept``.
 
     ``base_failed``: under 50 words, or over half of the words in repeated 3-word windows. The others are grouped by
-    language and source (null is a value of its own). Each group's minimum-covariance-determinant centre and scatter
-    come from deterministic concentration steps over all its rows; ``kept`` is false beyond the cut-off of the
-    Mahalanobis distance. Groups under ``LEAST_GROUP`` rows are judged by the fit of all rows of their language, large
-    groups included, and those of languages under it by the fit of all rows. Only sums by group and bin of distance are shuffled, so a hot source is no burden. Rows
-    stay rows: repeated ones get the same verdict, null and blank texts fail, an empty table gives no rows.
+    language and source (null is a value of its own), by language, and all together; each group has its own
+    minimum-covariance-determinant estimate over all its rows. A group's estimate is mixed with its language's, which
+    weighs ``PRIOR_ROWS`` rows, and that with the common one, so that a group of a few rows doesn't set its own standard
+    and one of many does. ``kept`` is false beyond the cut-off of the Mahalanobis distance.
+
+    Only sums by group and bin of distance are shuffled, so a hot source is no burden. Rows stay rows: repeated ones get
+    the same verdict, ties in distance share it, null and blank texts fail, long texts are read whole, an empty table
+    gives no rows, other columns are left out.
     """
     name = lambda *c: F.concat_ws("\n", *[F.coalesce(F.concat(F.lit("="), x.cast("string")), F.lit("-")) for x in c])
-    own = docs.withColumns({"__by_source": name(F.col(lang), F.col(source)), "__by_lang": name(F.col(lang))})
-    stats = cut(statistics(own, text, (*keys, "__by_source", "__by_lang")))
+    groups = {"__s": F.concat(F.lit("s:"), name(F.col(lang), F.col(source))), "__l": F.concat(F.lit("l:"), name(F.col(lang)))}
+    stats = cut(statistics(docs.withColumns(groups), text, (*keys, *groups)))
     good = ~F.col("base_failed")
-    sizes = stats.where(good).groupBy("__by_lang", "__by_source").agg(F.count("*").alias("__n"))
-    by_lang = sizes.groupBy(F.col("__by_lang").alias("__l")).agg(F.sum("__n").alias("__nl"))
-    groups = [F.concat(F.lit("s:"), "__by_source"), F.concat(F.lit("l:"), "__by_lang"), F.lit("all")]
-    group = F.when(F.col("__n") >= LEAST_GROUP, groups[0]).when(F.col("__nl") >= LEAST_GROUP, groups[1]).otherwise(groups[2])
-    named = cut(sizes.join(by_lang, F.col("__by_lang") == F.col("__l")).select(F.col("__by_source").alias("__s"), group.alias("g"), F.array(*groups).alias("__in")))
-    naming = small(named.select("__s", "g"))
-    # A row counts in its source's, its language's and the common fit, as far as any source is judged by them.
-    judges = named.select("g").distinct()
-    fitting = small(cut(named.select("__s", F.explode("__in").alias("g")).join(judges, "g", "left_semi")))
-    rows = stats.where(good).join(fitting, F.col("__by_source") == F.col("__s")).select("g", *VECTOR)
-    fit = cut(_start(rows))
-    for _ in range(STEPS):
-        fit = cut(_step(rows, fit))
+    rows = stats.where(good).select(F.explode(F.array("__s", "__l", F.lit("all"))).alias("g"), *VECTOR)
+    fits = minimum_determinant(rows)
+    kind = lambda x: fits.where(F.col("g").startswith(x))
+    by_lang = _shrunk(kind("l:").withColumn("__all", F.lit("all")), kind("all"), "__all")
+    members = stats.where(good).select("__s", "__l").distinct()
+    by_source = _factored(_shrunk(kind("s:").join(members, F.col("g") == F.col("__s")), by_lang, "__l")).select("__s", "n", *CENTRES, *FACTORS)
     # The scatter of the nearest share is too small for the whole; chi squared says by how much.
-    scaled = fit.select("g", *CENTRES, *FACTORS)
-    judged = stats.join(naming, F.col("__by_source") == F.col("__s"), "left").join(small(scaled), "g", "left").withColumn("distance", F.when(good, _distance() / F.lit(CHI2_SUBSET / DIMS)))
-    return judged.select(*keys, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", (good & (F.col("distance") <= CHI2_CUT)).alias("kept"))
+    judged = join_once(stats, by_source, "__s", "n", "left").withColumn("distance", F.when(good, _distance() / F.lit(CHI2_SUBSET / DIMS)))
+    return judged.select(*keys, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", (good & F.coalesce(F.col("distance") <= CHI2_CUT, F.lit(False))).alias("kept"))

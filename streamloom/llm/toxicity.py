@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,21 +12,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .common import cut, held_out, without
+from .common import cut, held_out, shingles_of, without, words_of
 
 #: Labelled rows to learn from, at most: those with the least hash of their id.
 SAMPLE = 8_000
 #: One labelled row in so many is an anchor: its label enters the label model. The others enter with their votes only.
 ANCHOR = 4
-#: Features that the voters and the classifier choose from: the most telling ones by chi squared.
+#: Features that the voters and the classifier choose from: the most telling ones.
 FEATURES = 1_024
 #: Voters: features that are at least so many times as likely in toxic rows, and are in so many rows at least.
-VOTERS, LIFT, LEAST_ROWS = 256, 6.0, 3
-#: Chi squared (N * phi squared) that a feature needs: among 100,000 features of pure chance hardly one gets there.
-TELLING = 18.0
+VOTERS, LIFT, LEAST_ROWS = 256, 30.0, 3
+#: Evidence that a feature needs, n KL(its share of toxic rows, that of all rows): a share so far from the common one has
+#: a chance of exp(-12) at most, also in few rows, so that among 100,000 features of pure chance hardly one gets there.
+TELLING = 12.0
 #: Lengths of word beginnings that are features besides whole words.
-STEMS = (4, 5, 6)
+STEMS = (5, 6)
+#: Distinct words with one beginning from which on that is a feature of its own.
+FAMILY = 3
 #: Correlation of two voters within the classes from which on one of them depends on the other.
 CORRELATED = 0.2
 EM_STEPS, EPOCHS, RIDGE = 30, 300, 1e-3
@@ -45,9 +50,11 @@ PATTERNS = {
 
 
 def features(text: str) -> set[str]:
-    """Distinct lower-case words, their beginnings (marked with ``*``), and the names of patterns that occur."""
+    """Distinct lower-case words, their beginnings (marked with ``*``, and with ``**`` if ``FAMILY`` words or more have
+    them), and the names of patterns that occur."""
     words = set(WORD.findall(text.lower()))
-    return words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n} | {name for name, p in PATTERNS.items() if p.search(text)}
+    stems = Counter(w[:n] for w in words for n in STEMS if len(w) > n)
+    return words | {s + "*" for s in stems} | {s + "**" for s, n in stems.items() if n >= FAMILY} | {name for name, p in PATTERNS.items() if p.search(text)}
 
 
 @dataclass
@@ -101,11 +108,12 @@ def fit_label_model(votes: np.ndarray, anchors: np.ndarray, steps: int = EM_STEP
     """
     given = np.where(anchors == 1, LABEL_ACCURACY, 1 - LABEL_ACCURACY)
     q = np.where(anchors >= 0, given, np.where(votes[:, :-1].any(axis=1), 0.9, 0.02))
-    model = LabelModel(0.5, np.zeros((2, 2, votes.shape[1])), np.full(votes.shape[1], -1))
+    # The share of toxic rows is taken from the anchors: votes alone can't tell it.
+    prior = float((np.sum(anchors == 1) + 0.5) / (np.sum(anchors >= 0) + 1))
+    model = LabelModel(prior, np.zeros((2, 2, votes.shape[1])), np.full(votes.shape[1], -1))
     for step in range(steps):
         if step % 10 == 0:
             model.parent = correlated(votes, q)
-        model.prior = float(np.clip(q.mean(), 1e-3, 1 - 1e-3))
         s = model.states(votes)
         for state in (0, 1):
             there = s == state
@@ -156,38 +164,42 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
     known = labels.where(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id))).groupBy(doc_id).agg(F.max(toxic).alias("__y")).orderBy(F.xxhash64(doc_id), doc_id).limit(SAMPLE)
     rows = docs.select(doc_id, text).join(F.broadcast(known), doc_id).where(F.col(text).isNotNull())
     anchor = F.pmod(F.xxhash64(doc_id, F.lit(3)), F.lit(ANCHOR)) == 0
-    sample = cut(rows.groupBy(doc_id).agg(F.min(text).alias("t"), (F.max("__y") == 1).alias("y")).select("t", "y", anchor.alias("anchor")))
+    # Copies and near copies agree in the least of their 5-word shingles, mostly: together they weigh as one row.
+    least = F.coalesce(F.array_min(shingles_of(F.col("words"), 5)), F.xxhash64("t"))
+    one = rows.groupBy(doc_id).agg(F.min(text).alias("t"), (F.max("__y") == 1).alias("y")).select("t", "y", anchor.alias("anchor"), words_of(F.col("t")).alias("words")).withColumn("least", least).drop("words")
+    sample = cut(one.withColumn("w", 1 / F.count("*").over(Window.partitionBy("least"))).drop("least"))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [sorted(features(t)) for t in b.column(0).to_pylist()]
-            y = np.repeat(b.column(1).to_numpy(zero_copy_only=False), [len(f) for f in found])
-            yield pa.RecordBatch.from_arrays([pa.array(y), pa.array([x for f in found for x in f], pa.string())], names=["y", "f"])
+            y, w = (np.repeat(b.column(i).to_numpy(zero_copy_only=False), [len(f) for f in found]) for i in (1, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(y), pa.array(w), pa.array([x for f in found for x in f], pa.string())], names=["y", "w", "f"])
 
-    totals = {r[0]: r[1] for r in sample.groupBy("y").count().collect()}
-    pos, neg = totals.get(True, 0), totals.get(False, 0)
+    totals = {r[0]: r[1] for r in sample.groupBy("y").agg(F.sum("w")).collect()}
+    pos, neg = totals.get(True, 0.0), totals.get(False, 0.0)
     share = pos / (pos + neg) if pos + neg else 0.0
     guess = ToxicityModel({}, float(np.log((share + 1e-6) / (1 - share + 1e-6))), [], None)
     if not pos or not neg:
         return guess
     a, b = F.col("a"), F.col("b")
-    chi = (pos + neg) * F.pow(a * (neg - b) - b * (pos - a), F.lit(2)) / ((a + b) * (pos + neg - a - b + 1) * F.lit(float(pos)) * neg)
+    part = lambda k, p: F.when(k > 0, k * F.log(k / ((a + b) * p))).otherwise(0.0)
+    told = part(a, share) + part(b, 1 - share)
     best = (
-        sample.select("t", "y").mapInArrow(tokens, "y boolean, f string")
-        .groupBy("f").agg(F.sum(F.col("y").cast("double")).alias("a"), F.sum((~F.col("y")).cast("double")).alias("b"))
-        .where((a + b >= LEAST_ROWS) & (chi >= TELLING)).orderBy(chi.desc(), "f").limit(FEATURES).collect()
+        sample.select("t", "y", "w").mapInArrow(tokens, "y boolean, w double, f string")
+        .groupBy("f").agg(F.sum(F.col("y").cast("double") * F.col("w")).alias("a"), F.sum((~F.col("y")).cast("double") * F.col("w")).alias("b"))
+        .where((a + b >= LEAST_ROWS - 1e-9) & (told >= TELLING)).orderBy(told.desc(), "f").limit(FEATURES).collect()
     )
     if not best:
         return guess
     number = {r["f"]: k for k, r in enumerate(best)}
-    voters = [k for k, r in enumerate(best) if r["a"] >= LEAST_ROWS and (r["a"] / pos) >= LIFT * (r["b"] + 0.5) / neg][:VOTERS]
+    voters = [k for k, r in enumerate(best) if r["a"] >= LEAST_ROWS - 1e-9 and (r["a"] / pos) >= LIFT * (r["b"] + 0.5) / neg][:VOTERS]
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [sorted(number[f] for f in features(t) & number.keys()) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(found, pa.list_(pa.int32()))], names=["y", "anchor", "k"])
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(3), pa.array(found, pa.list_(pa.int32()))], names=["y", "anchor", "k"])
 
-    seen = sorted((r["y"], r["anchor"], list(r["k"])) for r in sample.mapInArrow(numbers, "y boolean, anchor boolean, k array<int>").collect())
+    seen = sorted((r["y"], r["anchor"], list(r["k"])) for r in sample.select("t", "y", "w", "anchor").mapInArrow(numbers, "y boolean, anchor boolean, k array<int>").collect())
     rows, anchors = [np.array(r[2], int) for r in seen], np.array([int(r[0]) if r[1] else -1 for r in seen])
     place = {k: j for j, k in enumerate(voters)}
     votes = np.zeros((len(rows), len(voters) + 1))
@@ -217,17 +229,17 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", sc
                 if (t := t.as_py()) is None:
                     z[n] = bias
                     continue
-                # Every distinct word adds its own weight; every distinct beginning adds its weight once.
-                whole, stems = 0.0, set()
+                # Every distinct word adds its own weight; a beginning adds its weight once, and once more for a family.
+                whole, stems = 0.0, Counter()
                 for w in set(WORD.findall(t.lower())):
                     if (known := memory.get(w)) is None:
                         if len(memory) >= REMEMBERED:
                             memory.clear()
-                        known = memory[w] = (get(w, 0.0), tuple(s for k in STEMS if len(w) > k and (s := w[:k] + "*") in weights))
+                        known = memory[w] = (get(w, 0.0), tuple(s for k in STEMS if len(w) > k and ((s := w[:k]) + "*" in weights or s + "**" in weights)))
                     whole += known[0]
                     if known[1]:
                         stems.update(known[1])
-                z[n] = bias + whole + sum(weights[s] for s in sorted(stems)) + sum(v for v, search in patterns if search(t))
+                z[n] = bias + whole + sum(get(s + "*", 0.0) + (get(s + "**", 0.0) if stems[s] >= FAMILY else 0.0) for s in sorted(stems)) + sum(v for v, search in patterns if search(t))
             out = pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], out], names=[*names, score])
 

@@ -313,7 +313,7 @@ def test_label_model_by_hand():
 
     r = [0.98 if a == 1 else 0.02 if a == 0 else 0.9 if any(v[:-1]) else 0.02 for v, a in zip(votes, anchors, strict=True)]
     for _ in range(7):
-        prior = sum(r) / n
+        prior = (anchors.count(1) + 0.5) / (n - anchors.count(-1) + 1)
         rate = {}
         for c in (0, 1):
             w = r if c else [1 - x for x in r]

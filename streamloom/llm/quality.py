@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, join_once, shingles_of, words_of
+from .common import BROADCAST_ROWS, cut, join_once, shingles_of, words_of
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -93,15 +93,6 @@ def statistics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ())
     )
 
 
-def _cholesky(c: dict[tuple[int, int], Column]) -> dict[tuple[int, int], Column]:
-    low: dict[tuple[int, int], Column] = {}
-    for i in range(DIMS):
-        for j in range(i + 1):
-            rest = reduce(lambda a, k: a - low[i, k] * low[j, k], range(j), c[i, j])
-            low[i, j] = F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / low[j, j]
-    return low
-
-
 PAIRS = [(i, j) for i in range(DIMS) for j in range(i + 1)]
 CENTRES = [f"m{i}" for i in range(DIMS)]
 SCATTER = [f"c{i}{j}" for i, j in PAIRS]
@@ -119,9 +110,15 @@ def _distance() -> Column:
 
 
 def _factored(fit: DataFrame) -> DataFrame:
-    """With the Cholesky factor of the scatter and the logarithm of its determinant."""
-    low = _cholesky({(i, j): F.col(f"c{i}{j}") for i, j in PAIRS})
-    return fit.withColumns({f"l{i}{j}": low[i, j] for i, j in PAIRS}).withColumn("logdet", reduce(lambda a, i: a + 2 * F.log(F.col(f"l{i}{i}")), range(DIMS), F.lit(0.0)))
+    """With the Cholesky factor of the scatter and the logarithm of its determinant; one column builds on the others."""
+    for i, j in PAIRS:
+        rest = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), F.col(f"c{i}{j}"))
+        fit = fit.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}"))
+    return fit.withColumn("logdet", reduce(lambda a, i: a + 2 * F.log(F.col(f"l{i}{i}")), range(DIMS), F.lit(0.0)))
+
+
+def _join(rows: DataFrame, table: DataFrame, few: bool) -> DataFrame:
+    return rows.join(F.broadcast(table), "g").drop("n") if few else join_once(rows, table, "g", "n")
 
 
 def _starts(rows: DataFrame) -> DataFrame:
@@ -131,7 +128,7 @@ def _starts(rows: DataFrame) -> DataFrame:
     scale = [F.greatest((F.get(x, F.lit(2)) - F.get(x, F.lit(0))) / 1.349, F.lit(f)) for x, f in zip(VECTOR, FLOORS, strict=True)]
     middle = cut(q.select("g", "n", *[F.get(x, F.lit(1)).alias(m) for x, m in zip(VECTOR, CENTRES, strict=True)], *[s.alias(f"d{i}") for i, s in enumerate(scale)]))
     z = [(F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"d{i}") for i in range(DIMS)]
-    near = join_once(rows, middle, "g", "n").select("g", *[v.alias(f"z{i}") for i, v in enumerate(z)])
+    near = _join(rows, middle, False).select("g", *[v.alias(f"z{i}") for i, v in enumerate(z)])
     length = F.sqrt(F.greatest(reduce(lambda a, b: a + b, [F.col(f"z{i}") ** 2 for i in range(DIMS)]), F.lit(1e-12)))
     kinds = {"t": lambda i: F.tanh(f"z{i}"), "u": lambda i: F.col(f"z{i}") / length}
     moments = near.groupBy("g").agg(*[F.avg(of(i) * of(j)).alias(f"{name}{i}{j}") for name, of in kinds.items() for i, j in PAIRS])
@@ -145,30 +142,32 @@ def _starts(rows: DataFrame) -> DataFrame:
     return _factored(both.select("g", "n", *CENTRES, "c.*"))
 
 
-def _meet(rows: DataFrame, fit: DataFrame, *more: str) -> DataFrame:
+def _meet(rows: DataFrame, fit: DataFrame, few: bool, *more: str) -> DataFrame:
     """Each row with each estimate of its group: its squared distance ``d2`` and the bin of that."""
     by_group = fit.groupBy("g").agg(F.collect_list(F.struct("start", *CENTRES, *FACTORS, *more)).alias("__fits"), F.max("n").alias("n"))
-    met = join_once(rows, by_group, "g", "n").select("g", *VECTOR, F.explode("__fits").alias("__f")).select("g", *VECTOR, "__f.*")
+    met = _join(rows, by_group, few).select("g", *VECTOR, F.explode("__fits").alias("__f")).select("g", *VECTOR, "__f.*")
     bins = F.least(F.floor(F.log2(F.greatest(F.col("d2"), F.lit(2.0**LOW))) * PER_OCTAVE), F.lit(HIGH * PER_OCTAVE))
     return met.withColumn("d2", _distance()).select("g", "start", *VECTOR, "d2", bins.alias("bin"), *more)
 
 
-def _step(rows: DataFrame, fit: DataFrame) -> DataFrame:
+def _step(rows: DataFrame, fit: DataFrame, few: bool) -> DataFrame:
     """Concentrate: mean and scatter of the h = SUBSET n rows of each group that lie nearest under each estimate.
 
     Rows are summed by bin of distance; the rows of the bin in which the h-th lies are summed again by finer parts, and
     of rows in one part with the h-th (equally far, to 2e-5 of the distance) each counts for an equal share of what is
-    left. So the subset has the weight of h rows exactly, and only sums are shuffled. ``before``: the old determinant.
+    left. So the subset has the weight of h rows exactly, and only sums are shuffled. ``before``: the old determinant; ``few``: there are few groups, counted before.
     """
     moments = [F.count("*").cast("double").alias("k"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(VECTOR)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in PAIRS]]
     w = Window.partitionBy("g", "start")
-    coarse = cut(_meet(rows, fit).groupBy("g", "start", "bin").agg(*moments))
+    coarse = _meet(rows, fit, few).groupBy("g", "start", "bin").agg(*moments)
+    if not few:
+        coarse = cut(coarse)
     placed = coarse.withColumns({"before": F.sum("k").over(w.orderBy("bin")) - F.col("k"), "h": F.ceil(SUBSET * F.sum("k").over(w))})
     whole = placed.where(F.col("before") + F.col("k") <= F.col("h"))
     edge = placed.where((F.col("before") < F.col("h")) & (F.col("before") + F.col("k") > F.col("h"))).select("g", "start", F.col("bin").alias("edge"), (F.col("h") - F.col("before")).alias("left"))
     low = F.pow(F.lit(2.0), F.col("bin") / PER_OCTAVE)
     part = F.greatest(F.lit(0), F.least(F.lit(PARTS - 1), F.floor((F.col("d2") / low - 1) / (2 ** (1 / PER_OCTAVE) - 1) * PARTS)))
-    fine = _meet(rows, fit.join(edge, ["g", "start"]), "edge", "left").where("bin = edge").withColumn("part", part).groupBy("g", "start", "left", "part").agg(*moments)
+    fine = _meet(rows, fit.join(edge, ["g", "start"]), few, "edge", "left").where("bin = edge").withColumn("part", part).groupBy("g", "start", "left", "part").agg(*moments)
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("left") - F.col("before")) / F.col("k")))
     taken = fine.withColumn("before", F.sum("k").over(w.orderBy("part")) - F.col("k")).withColumn("share", share).select("g", "start", *[(F.col(c) * F.col("share")).alias(c) for c in SUMS])
     total = whole.select("g", "start", *SUMS).union(taken).groupBy("g", "start").agg(*[F.sum(c).alias(c) for c in SUMS])
@@ -186,12 +185,13 @@ def minimum_determinant(rows: DataFrame) -> DataFrame:
     for the steps and the determinant too, so that a statistic that hardly varies does no harm.
     """
     fit = cut(_starts(rows))
+    few = fit.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     for _ in range(FIRST_STEPS):
-        fit = cut(_step(rows, fit))
+        fit = cut(_step(rows, fit, few))
     best = Window.partitionBy("g").orderBy("logdet", "start")
     active, done = fit.withColumn("__at", F.row_number().over(best)).where("__at = 1").drop("__at"), None
     while True:
-        fit = cut(_step(rows, cut(active)))
+        fit = cut(_step(rows, active, few))
         ended = fit.where(F.col("logdet") >= F.col("before") - GAIN)
         done = ended if done is None else done.unionByName(ended)
         active = fit.where(F.col("logdet") < F.col("before") - GAIN)

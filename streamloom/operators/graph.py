@@ -10,6 +10,10 @@ from pyspark.sql.window import Window
 
 from .routing import wire
 
+#: A side of a join is broadcast if it has been counted and has at most this many rows; nodes with more neighbours than
+#: HOT meet them by broadcast in any case.
+FEW, HOT = 200_000, 20_000
+
 
 def _cut(df: DataFrame) -> DataFrame:
     """End of lineage: a checkpoint in the shared folder where one is set; small local graphs do without."""
@@ -43,22 +47,47 @@ def recovery_closure(vertices: DataFrame, edges: DataFrame, failed: DataFrame) -
     return back.join(vertices.where("has_instance").select(F.col("id").alias("node")), "node", "left_semi").union(failed).distinct()
 
 
-def pairs_reached(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(src, dst): transitive closure of a small graph, doubling the length of paths each round."""
-    closed = _cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct())
-    n = -1
-    while (now := closed.count()) != n:
-        n = now
-        longer = closed.alias("a").join(closed.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        closed = _cut(closed.union(longer).distinct())
-    return closed
+def _peeled(edges: DataFrame) -> DataFrame:
+    """Edges (src, dst) on or between cycles: rounds take off vertices that nothing enters or nothing leaves."""
+    e = _cut(edges.select("src", "dst").where("src <> dst").distinct())
+    n = e.count()
+    while n:
+        inner = e.select(F.col("src").alias("node")).intersect(e.select("dst"))
+        e = _cut(e.join(inner.select(F.col("node").alias("src")), "src", "left_semi").join(inner.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"))
+        if (left := e.count()) == n:
+            break
+        n = left
+    return e
 
 
-def cycle_vertices(edges: DataFrame) -> DataFrame:
+def cycle_vertices(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Vertices in a strongly connected component of more than one vertex. A vertex with an edge to itself only is not
-    found, as in the check that this follows."""
-    both = pairs_reached(edges)
-    return both.alias("a").join(both.alias("b"), (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src")) & (F.col("a.src") != F.col("a.dst"))).select(F.col("a.src").alias("node")).distinct()
+    found, as in the check that this follows.
+
+    Vertices that can't be on a cycle are peeled off. Of what is left each vertex takes the greatest name that reaches
+    it, round by round; those of one name that also reach the vertex of that name are its component. It is taken off and
+    the rest is peeled again. No pairs of vertices are listed.
+    """
+    e, found = _peeled(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"))), None
+    while not e.isEmpty():
+        color = _cut(e.select(F.col("src").alias("node")).distinct().withColumn("color", F.col("node")))
+        while True:
+            reached = e.join(color.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("color").alias("c"))
+            next_color = _cut(color.join(reached, "node", "left").select("node", F.greatest("color", F.coalesce("c", "color")).alias("color")))
+            changed = next_color.join(color.withColumnRenamed("color", "old"), "node").where("color <> old").isEmpty()
+            color = next_color
+            if changed:
+                break
+        inside = _cut(
+            e.join(color.select(F.col("node").alias("src"), F.col("color").alias("a")), "src").join(color.select(F.col("node").alias("dst"), F.col("color").alias("b")), "dst").where("a = b").select("src", "dst")
+        )
+        back = reach(inside, color.where("node = color").select("node"), "dst", "src")
+        whole = _cut(color.join(back, "node").withColumn("n", F.count("*").over(Window.partitionBy("color"))))
+        many = whole.where("n > 1").select("node")
+        found = many if found is None else found.union(many)
+        gone = whole.select("node")
+        e = _peeled(e.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+    return edges.select(F.col(src).alias("node")).limit(0) if found is None else found.distinct()
 
 
 def degree_offenders(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -77,8 +106,10 @@ def gate_gaps(edges: DataFrame) -> DataFrame:
 
 
 def sharing_cycles(vertices: DataFrame) -> DataFrame:
-    """Vertices whose ``share_with`` pointers lead back to them."""
-    return pairs_reached(vertices.where("share_with IS NOT NULL"), "id", "share_with").where("src = dst").select(F.col("src").alias("node"))
+    """Vertices whose ``share_with`` pointers lead back to them: with one pointer each, what is left after vertices that
+    no other points to have been peeled off. A vertex that points to itself counts."""
+    e = vertices.where("share_with IS NOT NULL").select(F.col("id").alias("src"), F.col("share_with").alias("dst"))
+    return _peeled(e).select(F.col("src").alias("node")).union(e.where("src = dst").select("src")).distinct()
 
 
 def sequences(edges: DataFrame, begin: str, end: str, inclusive: bool = True) -> DataFrame:
@@ -140,31 +171,46 @@ def components(nodes: DataFrame, edges: DataFrame, src: str = "src", dst: str =
     Rounds of stars: each node points its larger neighbours to the least node it knows, then itself and its smaller
     neighbours; paths shrink by half, so few rounds serve even long ones.
     """
+    def state(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), *[F.sum(F.xxhash64("u", "v", F.lit(seed)).cast("decimal(20,0)")) for seed in (1, 2)]).first())
+
+    def tied(rows: DataFrame, least: DataFrame) -> DataFrame:
+        """Rows (u, v) with the least node near u; few nodes, or else those with many neighbours, come by broadcast."""
+        least = _cut(least)
+        if least.limit(FEW + 1).count() <= FEW:
+            return rows.join(F.broadcast(least), "u")
+        hot = least.where(F.col("n") > HOT)  # at most edges / HOT of them
+        if hot.isEmpty():
+            return rows.join(least, "u")
+        return rows.join(F.broadcast(hot), "u").unionByName(rows.join(F.broadcast(hot.select("u")), "u", "left_anti").join(least, "u"))
+
     e = _cut(edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct())
+    now = state(e)
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", "m")).distinct()
-        fresh = _cut(small)
-        if fresh.exceptAll(e).isEmpty() and e.exceptAll(fresh).isEmpty():
+        near = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = _cut(tied(both.where("v > u"), near).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        pairs = tied(large, low).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p"))
+        e = _cut(pairs.select("p.u", "p.v").where("u <> v").distinct())
+        before, now = now, state(e)
+        if now == before:
             break
-        e = fresh
     return nodes.select("node").distinct().join(e.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("component"))
 
 
-def levels(vertices: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
-    """(``node``, ``level``): length of the longest path that ends in a vertex, a topological order of a DAG."""
+def levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(``node``, ``level``): length of the longest path that ends in a vertex, a topological order of a DAG. A path with
+    more edges than vertices that edges leave has been at one of them twice: then there is a cycle, which is an error."""
     steps = _cut(edges.select("src", "dst").distinct())
     at = _cut(vertices.select(F.col("id").alias("node"), F.lit(0).alias("level")))
     front = at
-    for _ in range(most):
+    for _ in range(steps.select("src").distinct().count() + 1):
         front = _cut(front.join(steps, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg((F.max("level") + 1).alias("level")))
         if front.isEmpty():
             return at
         at = _cut(at.union(front).groupBy("node").agg(F.max("level").alias("level")))
-    raise ValueError("the graph has a cycle or a longer path than allowed")
+    raise ValueError("the graph has a cycle")
 
 
 def stage_numbers(vertices: DataFrame) -> DataFrame:

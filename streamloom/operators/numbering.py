@@ -25,6 +25,17 @@ def numbered(df: DataFrame, keys: list[str], seq: str, name: str = "pos", block:
     return inside.join(offsets, own).withColumn(name, F.col("__before") + F.col("__at")).drop("__block", "__before", "__at")
 
 
+def prefix_sums(df: DataFrame, key: str, seq: str, value: str, name: str, block: int = BLOCK) -> DataFrame:
+    """``name``: sum of ``value`` over a key's rows up to and with each one, in the order of the whole number ``seq``.
+    Blocks of ``seq`` are summed on their own and the sums of earlier blocks are added, so that a hot key is spread."""
+    rows = df.withColumn("__block", F.floor(F.col(seq) / block))
+    totals = rows.groupBy(key, "__block").agg(F.sum(value).alias("__sum"))
+    earlier = Window.partitionBy(key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(key, "__block", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy(key, "__block").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("__in", F.sum(value).over(inside)).join(offsets, [key, "__block"]).withColumn(name, F.col("__before") + F.col("__in")).drop("__block", "__before", "__in")
+
+
 def over_last(df: DataFrame, keys: list[str], seq: str, n: int, columns: dict[str, Column], block: int = BLOCK) -> DataFrame:
     """``df`` with ``columns``: aggregates over the last ``n`` rows of the channel, up to and with the row itself.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .numbering import over_last
+from .numbering import over_last, prefix_sums
 
 #: Window of the state, band of tolerated deviation, and the rules for buffer sizes.
 STATE_WINDOW, BAND = 4, 0.05
@@ -22,6 +22,26 @@ def latest_state(df: DataFrame, key: str, seq: str, values: list[str], n: int =
     return last.groupBy(key).agg(F.max_by(F.struct(*[f"mean_{v}" for v in values]), F.col(seq)).alias("s")).select(key, *[F.coalesce(F.col(f"s.mean_{v}"), F.lit(-1.0)).alias(f"mean_{v}") for v in values])
 
 
+def buffer_lifetime(lifetime: Column, chained: Column) -> Column:
+    """A chained edge has no buffer: its lifetime is 0."""
+    return F.when(chained, F.lit(0)).otherwise(lifetime)
+
+
+def model_states(models: DataFrame, expected: DataFrame, announced: DataFrame, model: str, member: str, time: str) -> DataFrame:
+    """(model, state, ready_ms): EMPTY before any member has announced itself, SHALLOW while some that are expected have
+    not, READY from the last one's announcement on."""
+    said = announced.groupBy(model, member).agg(F.min(time).alias("__at"))
+    per = models.select(model).distinct().join(expected.select(model, member).distinct(), model, "left").join(said, [model, member], "left")
+    counted = per.groupBy(model).agg(F.count(member).alias("__members"), F.count("__at").alias("__have"), F.max("__at").alias("__last"))
+    state = F.when(F.col("__have") == 0, "EMPTY").when(F.col("__have") < F.col("__members"), "SHALLOW").otherwise("READY")
+    return counted.select(model, state.alias("state"), F.when(state == "READY", F.col("__last")).alias("ready_ms"))
+
+
+def ready_measurements(measured: DataFrame, members: DataFrame, states: DataFrame, member: str, model: str, time: str) -> DataFrame:
+    """Measurements of members whose model is ready, from the time on that it is; earlier ones are dropped."""
+    return measured.join(members, member).join(states, model).where((F.col("state") == "READY") & (F.col(time) >= F.col("ready_ms")))
+
+
 def is_active(latency: Column, lifetime: Column, chained: Column) -> Column:
     """An edge counts if it has a latency and is chained or has a buffer lifetime."""
     return latency.isNotNull() & (chained | lifetime.isNotNull())
@@ -56,8 +76,8 @@ def resize_buffers(edges: DataFrame, most: int, old: str = "size", lifetime: str
 
 
 def fresh(df: DataFrame, oldest_latency: str, oldest_lifetime: str, changed: str) -> DataFrame:
-    """Edges all of whose measurements are from after the last change of their buffer."""
-    return df.where((F.col(oldest_latency) >= F.col(changed)) & (F.col(oldest_lifetime) >= F.col(changed)))
+    """Edges all of whose latencies and lifetimes are from after the last change of their buffer, if there was one."""
+    return df.where(F.col(changed).isNull() | ((F.col(oldest_latency) >= F.col(changed)) & (F.col(oldest_lifetime) >= F.col(changed))))
 
 
 def adjustment_times(df: DataFrame, start: str, end: str, interval: int) -> DataFrame:
@@ -97,15 +117,24 @@ def candidate_chains(path: DataFrame) -> DataFrame:
     return runs.where("n >= 2 AND opens").select("path_id", "members", "n")
 
 
-def best_merge(chains: DataFrame, most: float = MERGE_CPU) -> DataFrame:
-    """Of each worker's chains (worker, idx, cpu), the contiguous two or more with the largest sum up to ``most``; the
-    first of equals. Prefix sums meet themselves: a worker has few chains."""
-    w = Window.partitionBy("worker").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    p = chains.withColumn("upto", F.sum("cpu").over(w)).withColumn("before", F.col("upto") - F.col("cpu"))
-    a, b = p.select("worker", F.col("idx").alias("first"), "before"), p.select("worker", F.col("idx").alias("last"), "upto")
-    sums = a.join(b, "worker").where(F.col("last") > F.col("first")).withColumn("cpu", F.col("upto") - F.col("before")).where(F.col("cpu") <= most)
-    rank = F.row_number().over(Window.partitionBy("worker").orderBy(F.col("cpu").desc(), "first", "last"))
-    return sums.withColumn("rank", rank).where("rank = 1").select("worker", "first", "last", "cpu")
+def best_merge(chains: DataFrame, most: float = MERGE_CPU, stretch: int = 1 << 18) -> DataFrame:
+    """Of each worker's chains (worker, idx, cpu > 0), the contiguous two or more with the largest sum up to ``most``; the
+    first of equals.
+
+    On the line of prefix sums (in thousandths), the best run that ends with a chain begins at the first place within ``most`` before
+    its end: a window over a range of sums. The line is cut into stretches that overlap by ``most``, so that a worker
+    with many chains is spread over tasks, and no pairs are listed.
+    """
+    p = prefix_sums(chains, "worker", "idx", "cpu", "upto").withColumn("before", F.col("upto") - F.col("cpu"))
+    last = F.struct("idx", "upto")
+    ends = p.select("worker", F.round(F.col("upto") * 1000).cast("long").alias("at"), F.lit(None).cast("struct<before:double,first:bigint>").alias("begin"), last.alias("end"), F.array(F.floor(F.col("upto") / stretch)).alias("parts"))
+    begins = p.select("worker", F.round(F.col("before") * 1000).cast("long").alias("at"), F.struct(F.col("before").cast("double").alias("before"), F.col("idx").cast("long").alias("first")).alias("begin"), F.lit(None).cast(ends.schema["end"].dataType).alias("end"), F.array_distinct(F.array(F.floor(F.col("before") / stretch), F.floor((F.col("before") + most) / stretch))).alias("parts"))
+    line = ends.union(begins).withColumn("part", F.explode("parts"))
+    near = Window.partitionBy("worker", "part").orderBy("at").rangeBetween(-round(most * 1000), 0)
+    runs = line.withColumn("from", F.min("begin").over(near)).where("end IS NOT NULL AND from IS NOT NULL")
+    runs = runs.select("worker", F.col("from.first").alias("first"), F.col("end.idx").alias("last"), (F.col("end.upto") - F.col("from.before")).cast(chains.schema["cpu"].dataType).alias("cpu")).where("last > first")
+    best = runs.groupBy("worker").agg(F.max_by(F.struct("first", "last", "cpu"), F.struct("cpu", -F.col("first"), -F.col("last"))).alias("b"))
+    return best.select("worker", "b.*")
 
 
 def split_points(chains: DataFrame, most: float = SPLIT_CPU) -> DataFrame:

@@ -20,8 +20,9 @@ def select_channels(df: DataFrame, selector: Column, n: int, channel: str = "cha
 
 
 def by_key(df: DataFrame, key: Column, n: int, channel: str = "channel") -> DataFrame:
-    """Records of equal keys to one channel, by a hash that any engine can compute: crc32 of the key as text."""
-    return df.withColumn(channel, (F.crc32(key.cast("string")) % n).cast("int"))
+    """Records of equal keys to one channel, by a hash that any engine can compute: the first 32 bits of
+    the md5 of the key as text."""
+    return df.withColumn(channel, (F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long") % n).cast("int"))
 
 
 def broadcast_to(df: DataFrame, consumers: int, consumer: str = "consumer") -> DataFrame:

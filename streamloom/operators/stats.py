@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from .numbering import over_last, upper_median
+from .numbering import over_last, prefix_sums, upper_median
 
 
 def count_window(df: DataFrame, channel: list[str], seq: str, value: str, n: int) -> DataFrame:
@@ -16,10 +21,17 @@ def count_window(df: DataFrame, channel: list[str], seq: str, value: str, n: int
     return out.withColumn("w_median", upper_median(F.col("__list"))).drop("__list")
 
 
-def stale_values(df: DataFrame, channel: list[str], arrival: str, seq: str) -> DataFrame:
-    """Values that arrive with a number that isn't above all before them: a window refuses those."""
-    before = Window.partitionBy(*channel).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("__most", F.max(seq).over(before)).where(F.col(seq) <= F.col("__most")).drop("__most")
+def stale_values(df: DataFrame, channel: list[str], arrival: str, seq: str, block: int = 1 << 32) -> DataFrame:
+    """Values that arrive with a number that isn't above all before them: a window refuses those. ``arrival`` is a whole
+    number (ties by ``seq``); blocks of it are windows of their own, to which the greatest number of the earlier blocks
+    is added."""
+    rows = df.withColumn("__b", F.floor(F.col(arrival) / block))
+    tops = rows.groupBy(*channel, "__b").agg(F.max(seq).alias("__top"))
+    earlier = Window.partitionBy(*channel).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tops.select(*channel, "__b", F.max("__top").over(earlier).alias("__old"))
+    before = Window.partitionBy(*channel, "__b").orderBy(arrival, seq).rowsBetween(Window.unboundedPreceding, -1)
+    full = rows.withColumn("__new", F.max(seq).over(before)).join(offsets, [*channel, "__b"])
+    return full.where(F.col(seq) <= F.greatest("__new", "__old")).drop("__b", "__new", "__old")
 
 
 def edge_latency(df: DataFrame, channel: list[str], bucket: Column, latency: Column) -> DataFrame:
@@ -45,9 +57,25 @@ def vertex_latency(df: DataFrame, vertex: list[str], bucket: str, time: str, rec
     return per.where("received >= 1 AND emitted >= 1 AND last_out >= first_in").withColumn("latency", F.expr("(last_out - first_in) div received"))
 
 
-def merged_mean(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
-    """Unweighted mean of what each reporter has reported."""
-    return df.groupBy(*keys).agg(F.avg(value).alias("mean"))
+def latency_by_emissions(df: DataFrame, vertex: str, seq: str, time: str, received: str, emitted: str, every: int) -> DataFrame:
+    """(vertex, at_ms, received, latency): a vertex measures at each ``every``-th emission the time since its first receipt
+    after the last measurement, by the records received since then; then it starts anew. Without a receipt there is no
+    value, and the count of emissions starts anew all the same.
+
+    Emissions are counted in blocks of ``seq``, so that a period is a number that each row can work out: the emissions
+    before it, by ``every``.
+    """
+    counted = prefix_sums(df, vertex, seq, emitted, "__upto").withColumn("__period", F.expr(f"(__upto - {emitted}) div {every}"))
+    got = F.col(received) > 0
+    per = counted.groupBy(vertex, "__period").agg(F.min(F.when(got, F.col(time))).alias("first_in"), F.max(F.when(F.col(emitted) > 0, F.struct("__upto", F.col(time).alias("t")))).alias("last"), F.sum(received).alias("received"))
+    due = per.where((F.col("last.__upto") == (F.col("__period") + 1) * every) & (F.col("received") > 0))
+    return due.select(vertex, F.col("last.t").alias("at_ms"), "received", F.expr("(last.t - first_in) div received").alias("latency"))
+
+
+def merged_mean(df: DataFrame, keys: list[str], reporter: str, value: Column) -> DataFrame:
+    """Unweighted mean of what the reporters have reported, which are means of their own, and their number."""
+    own = df.groupBy(*keys, reporter).agg(F.avg(value).alias("__own"))
+    return own.groupBy(*keys).agg(F.avg("__own").alias("mean"), F.count("*").alias("reports"))
 
 
 def last_report(df: DataFrame, keys: list[str], seq: str, *values: str) -> DataFrame:
@@ -55,9 +83,14 @@ def last_report(df: DataFrame, keys: list[str], seq: str, *values: str) -> DataF
     return df.groupBy(*keys).agg(F.max_by(F.struct(*values), F.col(seq)).alias("__last")).select(*keys, "__last.*")
 
 
-def path_summary(paths: DataFrame, keys: list[str], total: str) -> DataFrame:
-    """Active paths of each constraint and interval with their mean, least and largest total latency."""
-    return paths.groupBy(*keys).agg(F.count("*").alias("paths"), F.avg(total).alias("avg_ms"), F.min(total).alias("min_ms"), F.max(total).alias("max_ms"))
+def path_summary(paths: DataFrame, keys: list[str], latencies: str, intervals: DataFrame) -> DataFrame:
+    """Of each row of ``intervals`` (the keys): number of active paths, mean, least and largest total of their elements'
+    ``latencies``, and the mean of each element. Without an active path there are zeros, and no means by element."""
+    total = F.aggregate(latencies, F.lit(0).cast("long"), lambda a, x: a + x)
+    per = paths.withColumn("__t", total).groupBy(*keys).agg(F.count("*").alias("paths"), F.avg("__t").alias("avg_ms"), F.min("__t").alias("min_ms"), F.max("__t").alias("max_ms"))
+    elements = paths.select(*keys, F.posexplode(latencies).alias("at", "l")).groupBy(*keys, "at").agg(F.avg("l").alias("l"))
+    by_element = elements.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "l"))), lambda x: x["l"]).alias("elements"))
+    return intervals.join(per, keys, "left").join(by_element, keys, "left").fillna(0, ["paths", "avg_ms", "min_ms", "max_ms"])
 
 
 def split_edge_latency(latency: Column, lifetime: Column) -> tuple[Column, Column]:
@@ -103,28 +136,33 @@ def fixed_buffers(df: DataFrame, channel: list[str], record_bytes: int, limit: i
 
 
 def adaptive_buffers(df: DataFrame, channel: str, seq: str, size: str, limit: int) -> DataFrame:
-    """(channel, buffer, first_seq, last_seq, bytes, records): the same for records of any size.
+    """(channel, buffer, last_seq, bytes, records): the same for records of any size.
 
-    The fold runs in Spark's aggregate over a channel's ordered sizes, block after block of ``seq``: a channel is
-    sequential by nature, so one row holds its sizes and nothing else.
+    Where a buffer ends depends on all records before it, so a channel is read by one task: in order, in one pass that
+    holds three numbers.
     """
-    sizes = df.groupBy(channel).agg(F.sort_array(F.collect_list(F.struct(F.col(seq).alias("seq"), (F.col(size) + 4).cast("long").alias("bytes")))).alias("rows"))
-    start = F.struct(F.lit(0).cast("long").alias("held"), F.lit(0).alias("buffer"))
-    # Number of the buffer that each record is in: running state, kept as the list of its last members.
-    zero = F.struct(start.alias("s"), F.array().cast("array<struct<seq:bigint,bytes:bigint,records:bigint>>").alias("out"), F.lit(0).cast("long").alias("n"))
-
-    def step(a: Column, x: Column) -> Column:
-        held, n = a["s"]["held"] + x["bytes"], a["n"] + 1
-        full = held >= limit
-        return F.struct(
-            F.struct(F.when(full, 0).otherwise(held).cast("long").alias("held"), (a["s"]["buffer"] + full.cast("int")).alias("buffer")).alias("s"),
-            F.when(full, F.concat(a["out"], F.array(F.struct(x["seq"].alias("seq"), held.alias("bytes"), n.alias("records"))))).otherwise(a["out"]).alias("out"),
-            F.when(full, 0).otherwise(n).cast("long").alias("n"),
-        )
-
-    def finish(a: Column, rows: Column) -> Column:
-        rest = F.struct(F.element_at(rows, -1)["seq"].alias("seq"), a["s"]["held"].alias("bytes"), a["n"].alias("records"))
-        return F.when(a["n"] > 0, F.concat(a["out"], F.array(rest))).otherwise(a["out"])
-
-    shipped = sizes.select(channel, F.aggregate("rows", zero, step).alias("a"), "rows").select(channel, F.posexplode(finish(F.col("a"), F.col("rows"))).alias("buffer", "b"))
-    return shipped.select(channel, "buffer", F.col("b.seq").alias("last_seq"), F.col("b.bytes").alias("bytes"), F.col("b.records").alias("records"))
+    ordered = df.select(channel, F.col(seq).cast("long").alias("seq"), (F.col(size) + 4).cast("long").alias("bytes")).repartition(channel).sortWithinPartitions(channel, "seq")
+    names = [channel, "buffer", "last_seq", "bytes", "records"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last, held, n, number, begun = None, None, 0, 0, 0, False
+        for b in batches:
+            out: list[tuple] = []
+            for k, s, z in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
+                if not begun or k != key:
+                    if n:
+                        out.append((key, number, last, held, n))
+                    key, held, n, number, begun = k, 0, 0, 0, True
+                last, held, n = s, held + z, n + 1
+                if held >= limit:
+                    out.append((key, number, last, held, n))
+                    held, n, number = 0, 0, number + 1
+            yield made(out)
+        if n:
+            yield made([(key, number, last, held, n)])
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+
+    types = [to_arrow_type(df.schema[channel].dataType), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    return ordered.mapInArrow(run, T.StructType([df.schema[channel], *[T.StructField(c, T.IntegerType() if c == "buffer" else T.LongType()) for c in names[1:]]]))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .graph import _cut
+
 #: Allowed changes of a task's state.
 TRANSITIONS = [
     ("CREATED", "SCHEDULED"), ("SCHEDULED", "ASSIGNED"), ("ASSIGNED", "READY"), ("READY", "STARTING"), ("STARTING", "RUNNING"),
@@ -14,6 +20,7 @@ TRANSITIONS = [
 ]
 ARCHIVE_SIZE = 20
 NO_DISTANCE = 2**31 - 1
+MOST_TYPES = 1_000
 
 
 def first_status_time(events: DataFrame, keys: list[str], status: str, wanted: str, time: Column) -> DataFrame:
@@ -70,9 +77,13 @@ def alive(beats: DataFrame, instance: str, time: Column, now: Column, timeout: i
 
 def match_type(hosts: DataFrame, types: DataFrame, pinned: DataFrame) -> DataFrame:
     """Instance type of each host (host, cores, memory): the one pinned to it, else the first, by cores downwards, that
-    needs no more cores and memory than it has. Types are few; hosts meet all of them by a broadcast of the checked side."""
-    fit = hosts.join(F.broadcast(types), (F.col("t_cores") <= F.col("cores")) & (F.col("t_memory") <= F.col("memory")), "left")
-    best = fit.groupBy("host").agg(F.max_by("type", F.struct("t_cores", "t_memory", "type")).alias("fits"))
+    needs no more cores and memory than it has. Types are a configured list: all of them come as one array to each host's
+    row; more than ``MOST_TYPES`` are an error."""
+    listed = types.groupBy().agg(F.sort_array(F.collect_list(F.struct("t_cores", "t_memory", "type")), asc=False).alias("types"))
+    if listed.first()["types"] and len(listed.first()["types"]) > MOST_TYPES:
+        raise ValueError(f"over {MOST_TYPES} instance types")
+    fits = F.filter("types", lambda t: (t["t_cores"] <= F.col("cores")) & (t["t_memory"] <= F.col("memory")))
+    best = hosts.join(F.broadcast(listed)).select("host", F.get(fits, F.lit(0))["type"].alias("fits"))
     return best.join(pinned, "host", "left").select("host", F.coalesce("pinned", "fits").alias("type"))
 
 
@@ -101,23 +112,63 @@ def nearest_splits(splits: DataFrame, distances: DataFrame) -> DataFrame:
     """Order in which an instance asks for splits (split, host): by least distance of their hosts, then by number; hosts
     that aren't known are farthest."""
     far = splits.join(distances, "host", "left").groupBy("instance", "split").agg(F.min(F.coalesce("distance", F.lit(NO_DISTANCE))).alias("distance"))
-    return far.withColumn("rank", F.row_number().over(Window.partitionBy("instance").orderBy("distance", "split")))
-
-
-def fifo_splits(splits: DataFrame, order: str) -> DataFrame:
-    return splits.orderBy(order)
-
-
-def pack_slices(requests: DataFrame, instance: str, order: str, cores: str, capacity: int) -> DataFrame:
-    """First come, first served slices of each instance's cores: a request is granted if what is left is enough.
-
-    A fold over the requests of one instance in order; instances are independent of each other.
+    # An instance ranks all splits: they are ranked by distance and block of numbers, after those of earlier blocks.
+    rows = far.withColumn("__b", F.floor(F.col("split") / (1 << 16)))
+    counts = rows.groupBy("instance", "distance", "__b").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy("instance").orderBy("distance", "__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("instance").alias("__i"), F.col("distance").alias("__d"), F.col("__b").alias("__c"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    at = F.row_number().over(Window.partitionBy("instance", "distance", "__b").orderBy("split"))
+    same = F.col("instance").eqNullSafe(F.col("__i")) & (F.col("distance") == F.col("__d")) & (F.col("__b") == F.col("__c"))
+    return rows.withColumn("__at", at).join(offsets, same).select("instance", "split", "distance", (F.col("__before") + F.col("__at")).cast("int").alias("rank"))
+
+
+def claimed_splits(wanted: DataFrame, times: int | None = None) -> DataFrame:
+    """(split, instance, round): which instance gets each split, of ``wanted`` (instance, split, distance).
+
+    In each round every instance that still wants something asks for the nearest split that is left (ties by number), and
+    a split goes to the nearest asker (ties by least instance) and is gone. Rounds go on until nothing is left to claim,
+    or for ``times`` rounds.
     """
-    w = requests.groupBy(instance).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(cores).cast("int").alias("c")))).alias("r"))
-    zero = F.struct(F.lit(capacity).alias("left"), F.array().cast("array<struct<o:bigint,c:int,granted:boolean>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        fits = x["c"] <= a["left"]
-        return F.struct(F.when(fits, a["left"] - x["c"]).otherwise(a["left"]).alias("left"), F.concat(a["out"], F.array(F.struct(x["o"].alias("o"), x["c"].alias("c"), fits.alias("granted")))).alias("out"))
-
-    return w.select(instance, F.explode(F.aggregate("r", zero, step)["out"]).alias("x")).select(instance, F.col("x.o").alias(order), F.col("x.c").alias(cores), "x.granted")
+    left, got, k = _cut(wanted.select("instance", "split", "distance")), None, 0
+    while (times is None or k < times) and not left.isEmpty():
+        asked = left.groupBy("instance").agg(F.min(F.struct("distance", "split")).alias("a")).select("instance", "a.*")
+        given = _cut(asked.groupBy("split").agg(F.min(F.struct("distance", "instance")).alias("g")).select("split", F.col("g.instance").alias("instance"), F.lit(k).alias("round")))
+        got = given if got is None else got.union(given)
+        left = _cut(left.join(F.broadcast(given.select("split")), "split", "left_anti"))  # at most one split an instance
+        k += 1
+    return wanted.select("split", "instance", F.lit(0).alias("round")).limit(0) if got is None else got
+
+
+def fifo_splits(splits: DataFrame, major: str, *minor: str) -> DataFrame:
+    """``place`` of each split in the queue, from 1, in the order of the columns. Blocks of the whole number ``major`` are
+    numbered on their own, after the splits of the blocks before them."""
+    rows = splits.withColumn("__b", F.floor(F.col(major) / (1 << 16)))
+    counts = rows.groupBy("__b").agg(F.count("*").alias("__n"))
+    offsets = counts.select("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    at = F.row_number().over(Window.partitionBy("__b").orderBy(major, *minor))
+    return rows.withColumn("__at", at).join(offsets, "__b").withColumn("place", F.col("__before") + F.col("__at")).drop("__b", "__before", "__at")
+
+
+def pack_slices(requests: DataFrame, instance: str, order: str, capacity: dict[str, int]) -> DataFrame:
+    """First come, first served slices of each instance: a request is granted if what is left is enough in every dimension
+    of ``capacity`` (column to amount), and takes its share then.
+
+    What is left depends on all requests before, so an instance is read by one task: in order, in one pass that holds
+    one number for each dimension.
+    """
+    dims = list(capacity)
+    ordered = requests.select(instance, order, *dims).repartition(instance).sortWithinPartitions(instance, order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, left, begun = None, [], False
+        for b in batches:
+            granted = []
+            for k, *wanted in zip(b.column(0).to_pylist(), *[b.column(d).to_pylist() for d in dims], strict=True):
+                if not begun or k != key:
+                    key, left, begun = k, list(capacity.values()), True
+                fits = all(w <= have for w, have in zip(wanted, left, strict=True))
+                left = [have - w for w, have in zip(wanted, left, strict=True)] if fits else left
+                granted.append(fits)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(granted, pa.bool_())], names=[*b.schema.names, "granted"])
+
+    return ordered.mapInArrow(run, T.StructType([*ordered.schema.fields, T.StructField("granted", T.BooleanType())]))

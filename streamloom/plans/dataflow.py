@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -165,11 +170,10 @@ def counting_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.count_by_partition(table(spark, sf_dir, "lineitem")).agg(F.sum("n").alias("total"))
 
 
-@query("SELECT count(*) AS keys, CAST(1 AS BIGINT) AS most_channels FROM (SELECT DISTINCT o_custkey FROM orders)")
+@query("SELECT o_orderkey, o_custkey, CAST(CAST('0x' || substr(md5(CAST(o_custkey AS VARCHAR)), 1, 8) AS BIGINT) % 8 AS INT) AS channel FROM orders")
 def hash_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each key is in one channel only."""
-    o = routing.by_key(table(spark, sf_dir, "orders").select("o_custkey"), F.col("o_custkey"), 8)
-    return o.groupBy("o_custkey").agg(F.countDistinct("channel").alias("c")).agg(F.count("*").alias("keys"), F.max("c").alias("most_channels"))
+    return routing.by_key(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("o_custkey"), 8)
 
 
 _FILES = """
@@ -266,3 +270,57 @@ def topology_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     home = n.where("n_nationkey = 0").select(F.concat_ws("/", F.lit("root"), "n_regionkey", "n_nationkey", F.lit("home")).alias("b"))
     hosts = table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.concat_ws("/", F.lit("root"), "n_regionkey", "n_nationkey", "s_suppkey").alias("a"))
     return routing.topology_distance(hosts.join(F.broadcast(home), F.lit(True))).select("s_suppkey", F.lit("supplier").alias("kind"), "distance")
+
+
+def _lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        cut = [(i, n, line) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t for n, line in enumerate(t.split("\n")) if line]
+        yield pa.RecordBatch.from_arrays([pa.array([c[k] for c in cut], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "n", "line"])
+
+
+@query("""
+SELECT doc_id, n, lines[n + 1] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents) WHERE lines[n + 1] <> ''
+""")
+def user_mapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User code from none to many records for each one."""
+    return records.map_records(table(spark, sf_dir, "documents").select("doc_id", "text"), _lines_of, "doc_id long, n long, line string")
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder in the shared one, which is emptied by whoever owns that; a local one in sessions without."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-sink-')}/sink-{uuid.uuid4().hex}"
+
+
+@query("SELECT o_orderkey || ',' || o_orderpriority AS line FROM orders")
+def line_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written as lines, read back by the source."""
+    folder = _folder(spark)
+    lines.write_lines(table(spark, sf_dir, "orders").select(F.concat_ws(",", "o_orderkey", "o_orderpriority").alias("value")), folder)
+    return lines.read_lines(spark, folder).select(F.col("value").alias("line"))
+
+
+@query("SELECT 'doc-' || doc_id AS file_name, CAST(coalesce(strlen(text), 0) AS BIGINT) AS size, sha256(coalesce(text, '')) AS sha FROM documents WHERE coalesce(text, '') <> ''")
+def directory_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file for each document, read back whole. The file source passes over empty files."""
+    folder = _folder(spark)
+    files = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("file_name"), F.encode("text", "UTF-8").alias("content"))
+    lines.write_files(files, folder)
+    return lines.read_files(spark, folder).select("file_name", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha"))
+
+
+@query("SELECT count(*) AS n FROM lineitem")
+def discard_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records go to a sink that keeps none; what comes out is how many there were."""
+    li = table(spark, sf_dir, "lineitem")
+    lines.discard(li)
+    return li.agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH b AS (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE strlen(text) > 100)
+SELECT doc_id, substr(h, 201, 1) NOT IN ('8', '9', 'A', 'B') AS valid FROM b
+""")
+def str_strict_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the first hundred bytes of a text are valid UTF-8: they are unless they end within a character."""
+    raw = F.substring(F.encode("text", "UTF-8"), 1, 100)
+    return table(spark, sf_dir, "documents").where(F.octet_length("text") > 100).select("doc_id", tx.valid_utf8(raw.cast("string")).alias("valid"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,14 +136,22 @@ def pipeline_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(vertices(spark).select(F.col("id").alias("node")), graph.in_memory(spark, edges(spark)))
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem WHERE l_quantity >= 50 AND l_linenumber = 1 AND l_returnflag = 'R'),
+_SUPPLY = """
+WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem),
 u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r AS (SELECT a AS node, a AS o FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.o)
-SELECT node, min(o) AS component FROM r GROUP BY node
-""")
+r AS (
+  SELECT 0 AS k, node, node AS c FROM (SELECT DISTINCT a AS node FROM u)
+  UNION ALL
+  SELECT k + 1, node, min(c) FROM (SELECT k, node, c FROM r UNION ALL SELECT k, u.b, c FROM r JOIN u ON u.a = r.node) WHERE k < 30 GROUP BY k, node)
+SELECT node, c AS component FROM r WHERE k = 30
+"""
+
+
+@query(_SUPPLY)
 def supply_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "lineitem").where("l_quantity >= 50 AND l_linenumber = 1 AND l_returnflag = 'R'").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
+    """Components of parts and suppliers over all line items. The SQL passes names on for 30 rounds, more than the longest
+    of the shortest paths in these tables."""
+    e = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
     return graph.components(e.select(F.col("src").alias("node")).union(e.select("dst")), e)
 
 
@@ -219,34 +229,50 @@ def graph_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.merge_graphs(edges(spark).select(*keys), cyclic(spark).union(edges(spark).select(*keys)), keys)
 
 
-@query(_G + "x AS (SELECT 1) SELECT 0 AS rule_no, 'null_edge' AS rule, 'out' AS node")
+#: Job graphs that each break one rule first, or none: vertices (id, kind, share_with), edges (src, out_gate, dst, in_gate).
+SUBMITTED = {
+    "fine": ([("i", "input", None), ("t", "task", None), ("o", "output", "t")], [("i", 0, "t", 0), ("t", 0, "o", 0)]),
+    "gap": ([("i", "input", None), ("t", "task", None), ("o", "output", None)], [("i", 0, "t", 1), ("t", 0, "o", 0)]),
+    "apart": ([("i", "input", None), ("o", "output", None), ("x", "task", None)], [("i", 0, "o", 0)]),
+    "round": ([("i", "input", None), ("s", "task", None), ("t", "task", None), ("o", "output", None)], [("i", 0, "s", 0), ("s", 0, "t", 0), ("t", 0, "s", 1), ("t", 1, "o", 0)]),
+    "open": ([("i", "input", None), ("t", "task", None)], [("i", 0, "t", 0)]),
+    "share": ([("i", "input", "o"), ("t", "task", "i"), ("o", "output", "t")], [("i", 0, "t", 0), ("t", 0, "o", 0)]),
+}
+_SUBMITTED = f"""
+WITH RECURSIVE v(g, id, kind, share_with) AS (VALUES {_values([(g, *v) for g, (vs, _) in SUBMITTED.items() for v in vs])}),
+e(g, src, out_gate, dst, in_gate) AS (VALUES {_values([(g, *e) for g, (_, es) in SUBMITTED.items() for e in es])}),
+gate AS (SELECT g, src AS id, 'out' AS side, out_gate AS gate FROM e UNION ALL SELECT g, dst, 'in', in_gate FROM e),
+r AS (SELECT g, id FROM v WHERE kind = 'input' UNION SELECT e.g, e.dst FROM r JOIN e ON e.g = r.g AND e.src = r.id),
+c AS (SELECT g, src AS a, dst AS b FROM e UNION SELECT c.g, c.a, e.dst FROM c JOIN e ON e.g = c.g AND e.src = c.b),
+p AS (SELECT g, id AS a, share_with AS b FROM v WHERE share_with IS NOT NULL UNION SELECT p.g, p.a, v.share_with FROM p JOIN v ON v.g = p.g AND v.id = p.b WHERE v.share_with IS NOT NULL),
+n AS (SELECT v.*, (SELECT count(*) FROM e WHERE e.g = v.g AND dst = id) AS n_in, (SELECT count(*) FROM e WHERE e.g = v.g AND src = id) AS n_out FROM v),
+bad AS (
+  SELECT g, 0 AS rule_no, 'null_edge' AS rule, id AS node FROM gate GROUP BY g, id, side HAVING max(gate) + 1 <> count(DISTINCT gate)
+  UNION ALL SELECT g, 1, 'not_connected', id FROM v WHERE (g, id) NOT IN (SELECT (g, id) FROM r)
+  UNION ALL SELECT c.g, 2, 'cycle', c.a FROM c JOIN c d ON c.g = d.g AND c.a = d.b AND c.b = d.a AND c.a <> c.b
+  UNION ALL SELECT g, 3, 'degree', id FROM n WHERE NOT CASE kind WHEN 'input' THEN n_out >= 1 AND n_in = 0 WHEN 'output' THEN n_in >= 1 AND n_out = 0 ELSE n_in >= 1 AND n_out >= 1 END
+  UNION ALL SELECT g, 4, 'sharing_cycle', a FROM p WHERE a = b)
+SELECT g AS graph, rule_no, arg_min(rule, node) AS rule, min(node) AS node FROM bad b WHERE rule_no = (SELECT min(rule_no) FROM bad WHERE bad.g = b.g) GROUP BY g, rule_no
+"""
+
+
+@query(_SUBMITTED)
 def submit_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.submit_validation(vertices(spark), edges(spark))
+    """The first rule that each of some submitted graphs breaks; each rule decides once, and one graph breaks none."""
+    found = []
+    for name, (v, e) in SUBMITTED.items():
+        vs, es = spark.createDataFrame(v, "id string, kind string, share_with string"), spark.createDataFrame(e, "src string, out_gate int, dst string, in_gate int")
+        found.append(graph.submit_validation(vs, es).select(F.lit(name).alias("graph"), "rule_no", "rule", "node"))
+    return reduce(DataFrame.union, found)
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders WHERE o_custkey % 10 = 1
-  UNION SELECT DISTINCT 'o' || l_orderkey, 's' || l_suppkey FROM lineitem WHERE l_linenumber = 1),
+WITH RECURSIVE e AS (SELECT DISTINCT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders UNION SELECT DISTINCT 'o' || l_orderkey, 's' || l_suppkey FROM lineitem),
 r AS (SELECT 'c1' AS node UNION SELECT e.dst FROM r JOIN e ON e.src = r.node)
 SELECT node FROM r
 """)
 def order_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a customer's vertex reaches in the graph customer -> order -> supplier."""
-    o = table(spark, sf_dir, "orders").where("o_custkey % 10 = 1").select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("o"), "o_orderkey").alias("dst"))
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.concat(F.lit("o"), "l_orderkey"), F.concat(F.lit("s"), "l_suppkey"))
-    return graph.reach(o.union(li), spark.createDataFrame([("c1",)], "node string"))
-
-
-@query()
-def supply_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of parts and suppliers over all line items; ``supply_components`` takes a part of them, as its SQL does."""
-    e = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
-    return graph.components(e.select(F.col("src").alias("node")).union(e.select("dst")), e)
-
-
-@query()
-def order_reach_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a customer's vertex reaches over all orders and line items; ``order_reach`` takes a part of them, as its SQL does."""
     o = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("o"), "o_orderkey").alias("dst"))
     li = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("o"), "l_orderkey"), F.concat(F.lit("s"), "l_suppkey"))
     return graph.reach(o.union(li), spark.createDataFrame([("c1",)], "node string"))

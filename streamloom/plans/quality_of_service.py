@@ -7,26 +7,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from streamloom.operators import qos
+from streamloom.operators.numbering import numbered
 
 from .registry import query, table
 from .statistics import CENTS, MS, measurements
 
-_ORDERS = "(SELECT l_orderkey AS path_id, l_linenumber AS idx, l_extendedprice / 1000.0 AS ms FROM lineitem)"
+_ORDERS = "(SELECT l_orderkey AS path_id, l_linenumber AS idx, l_extendedprice / 1000.0 AS ms, CASE WHEN l_suppkey % 4 > 0 THEN l_suppkey % 4 END AS lifetime, l_partkey % 2 = 0 AS chained FROM lineitem)"
 
 
 def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as paths, their lines as elements with a latency."""
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path_id"), F.col("l_linenumber").alias("idx"), (F.col("l_extendedprice") / 1000.0).alias("ms"))
-    return li.groupBy("path_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "ms"))), lambda x: x["ms"]).alias("latencies"))
+    """Orders as paths, their lines as elements with a latency; a path is active if all its elements are."""
+    li = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("path_id"), F.col("l_linenumber").alias("idx"), (F.col("l_extendedprice") / 1000.0).alias("ms"),
+        qos.is_active(F.col("l_extendedprice"), F.when(F.col("l_suppkey") % 4 > 0, F.col("l_suppkey") % 4), F.col("l_partkey") % 2 == 0).alias("active"),
+    )
+    return li.groupBy("path_id").agg(F.min("active").alias("active"), F.transform(F.sort_array(F.collect_list(F.struct("idx", "ms"))), lambda x: x["ms"]).alias("latencies"))
 
 
 @query(f"""
-WITH p AS (SELECT path_id, list(ms ORDER BY idx, ms) AS l FROM {_ORDERS} GROUP BY path_id),
+WITH p AS (SELECT path_id, list(ms ORDER BY idx, ms) AS l FROM {_ORDERS} GROUP BY path_id HAVING bool_and(ms IS NOT NULL AND (chained OR lifetime IS NOT NULL))),
 t AS (SELECT path_id, CAST(list_reduce(list_prepend(CAST(0 AS DOUBLE), l), lambda a, x: trunc(a + x)) AS BIGINT) AS total FROM p)
 SELECT path_id, total, total - 150 AS excess FROM t WHERE abs(total - 150) / 150.0 > 0.05
 """)
 def path_latency_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = _paths(spark, sf_dir).select("path_id", qos.truncated_total(F.col("latencies")).alias("total"), F.lit(150).cast("long").alias("max_ms"))
+    """Only active paths are judged: those all of whose edges have a latency and are chained or have a buffer lifetime."""
+    totals = _paths(spark, sf_dir).where("active").select("path_id", qos.truncated_total(F.col("latencies")).alias("total"), F.lit(150).cast("long").alias("max_ms"))
     return qos.violations(totals, "total", "max_ms").select("path_id", "total", "excess")
 
 
@@ -44,18 +49,20 @@ def buffer_resize_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH w AS (SELECT user_id, event_id, {MS} AS ms, min({MS}) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS oldest FROM events),
-b AS (SELECT user_id, {MS} AS changed FROM events WHERE event_id < 400),
-c AS (SELECT user_id, min(changed) AS changed FROM b GROUP BY user_id)
-SELECT w.user_id, event_id FROM w JOIN c USING (user_id) WHERE oldest >= changed
+WITH w AS (SELECT user_id, event_id, min({MS}) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS latency_ms,
+  min({MS} - 1000) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS lifetime_ms FROM events),
+c AS (SELECT user_id, max({MS}) - 864000000 AS changed FROM events WHERE event_type = 'error' GROUP BY user_id)
+SELECT w.user_id, event_id FROM w LEFT JOIN c USING (user_id) WHERE changed IS NULL OR (latency_ms >= changed AND lifetime_ms >= changed)
 """)
 def freshness_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latencies are kept for four reports, lifetimes, which are measured a second earlier, for two; a channel's buffer was
+    changed ten days before its last error. Channels without a change are fresh."""
     from streamloom.operators.numbering import over_last
 
-    m = measurements(spark, sf_dir)
-    w = over_last(m, ["user_id"], "event_id", 4, {"oldest": F.min("ms")})
-    c = m.where("event_id < 400").groupBy("user_id").agg(F.min("ms").alias("changed"))
-    return qos.fresh(w.join(c, "user_id"), "oldest", "oldest", "changed").select("user_id", "event_id")
+    m = measurements(spark, sf_dir).withColumn("before", F.col("ms") - 1000)
+    w = over_last(over_last(m, ["user_id"], "event_id", 4, {"latency_ms": F.min("ms")}), ["user_id"], "event_id", 2, {"lifetime_ms": F.min("before")})
+    c = m.where("event_type = 'error'").groupBy("user_id").agg((F.max("ms") - 864_000_000).alias("changed"))
+    return qos.fresh(w.join(c, "user_id", "left"), "latency_ms", "lifetime_ms", "changed").select("user_id", "event_id")
 
 
 @query("""
@@ -85,12 +92,12 @@ def anchor_vertex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH p AS (SELECT l_returnflag AS cid, l_orderkey AS path_id, l_suppkey AS member FROM lineitem),
-a AS (SELECT cid, path_id, member % 7 AS manager FROM p WHERE member % 10 = 0)
+a AS (SELECT cid, path_id, member % 7 AS manager FROM p)
 SELECT DISTINCT p.cid, manager, member AS element FROM p JOIN a ON a.cid = p.cid AND a.path_id = p.path_id
 """)
 def reporter_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("cid"), F.col("l_orderkey").alias("path_id"), F.col("l_suppkey").alias("member"))
-    anchors = p.select("cid", "member").distinct().where("member % 10 = 0").withColumn("instance", F.col("member") % 7)
+    anchors = p.select("cid", "member").distinct().withColumn("instance", F.col("member") % 7)
     return qos.reporters(p, anchors)
 
 
@@ -107,23 +114,24 @@ def candidate_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CHAINS = """
-WITH c AS (SELECT user_id AS worker, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS idx, CAST(5 + event_id % 60 AS BIGINT) AS cpu FROM events),
-k AS (SELECT * FROM c WHERE idx <= 12),
+WITH k AS (SELECT user_id AS worker, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS idx, CAST(5 + event_id % 60 AS BIGINT) AS cpu FROM events),
 """
 
 
 def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("worker"), F.row_number().over(w).cast("long").alias("idx"), (5 + F.col("event_id") % 60).cast("long").alias("cpu"))
-    return e.where("idx <= 12")
+    """A user's events as the tasks of a chain, in their order."""
+    e = numbered(table(spark, sf_dir, "events").select("user_id", "event_id"), ["user_id"], "event_id", "idx")
+    return e.select(F.col("user_id").alias("worker"), F.col("idx").cast("long").alias("idx"), (5 + F.col("event_id") % 60).cast("long").alias("cpu"))
 
 
 @query(_CHAINS + """
-s AS (SELECT a.worker, a.idx AS first, b.idx AS last, (SELECT CAST(sum(cpu) AS BIGINT) FROM k WHERE k.worker = a.worker AND k.idx BETWEEN a.idx AND b.idx) AS cpu FROM k a JOIN k b ON a.worker = b.worker AND b.idx > a.idx),
-r AS (SELECT *, row_number() OVER (PARTITION BY worker ORDER BY cpu DESC, first, last) AS rank FROM s WHERE cpu <= 91)
+s AS (SELECT *, CAST(sum(cpu) OVER (PARTITION BY worker ORDER BY idx) AS BIGINT) AS upto FROM k),
+p AS (SELECT a.worker, a.idx AS first, b.idx AS last, b.upto - a.upto + a.cpu AS cpu FROM s a JOIN s b ON a.worker = b.worker AND b.idx > a.idx AND b.idx < a.idx + 20),
+r AS (SELECT *, row_number() OVER (PARTITION BY worker ORDER BY cpu DESC, first, last) AS rank FROM p WHERE cpu <= 91)
 SELECT worker, first, last, cpu FROM r WHERE rank = 1
 """)
 def chain_merge_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A task takes 5 at least, so that no run of 20 tasks stays within 91."""
     return qos.best_merge(_chains(spark, sf_dir))
 
 

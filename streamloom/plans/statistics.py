@@ -46,7 +46,7 @@ WITH s AS (SELECT user_id, event_id, ts, max(event_id) OVER (PARTITION BY user_i
 SELECT user_id, event_id FROM s WHERE event_id <= m
 """)
 def stale_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.struct("ts", "event_id").alias("arrival"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("arrival"))
     return stats.stale_values(e, ["user_id"], "arrival", "event_id").select("user_id", "event_id")
 
 
@@ -101,10 +101,26 @@ def vertex_latency_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.vertex_latency(e, ["user_id"], "bucket", "ms", "received", "emitted").select("user_id", "bucket", "latency")
 
 
-@query(f"SELECT event_type, user_id % 10 AS reporter, round(avg({CENTS}), 4) AS mean FROM events GROUP BY ALL")
+@query(f"""
+WITH e AS (SELECT user_id, event_id, {MS} AS ms, CASE WHEN event_type IN ('view', 'click') THEN 1 ELSE 0 END AS received, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS emitted FROM events),
+u AS (SELECT *, sum(emitted) OVER (PARTITION BY user_id ORDER BY event_id) AS upto FROM e),
+p AS (SELECT *, (upto - emitted) // 3 AS period FROM u),
+g AS (SELECT user_id, period, min(CASE WHEN received > 0 THEN ms END) AS first_in, max(CASE WHEN emitted > 0 THEN upto END) AS n, arg_max(ms, CASE WHEN emitted > 0 THEN upto END) AS t, CAST(sum(received) AS BIGINT) AS received FROM p GROUP BY ALL)
+SELECT user_id, t AS at_ms, received, CAST((t - first_in) // received AS BIGINT) AS latency FROM g WHERE n = (period + 1) * 3 AND received > 0 AND t >= first_in
+""")
+def vertex_latency_by_emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = measurements(spark, sf_dir).select("user_id", "event_id", "ms", F.col("event_type").isin("view", "click").cast("int").alias("received"), (F.col("event_type") == "purchase").cast("int").alias("emitted"))
+    return stats.latency_by_emissions(e, "user_id", "event_id", "ms", "received", "emitted", 3)
+
+
+@query(f"""
+WITH own AS (SELECT event_type, user_id % 10 AS reporter, avg({CENTS}) AS mean FROM events GROUP BY ALL)
+SELECT event_type, round(avg(mean), 4) AS mean, count(*) AS reports FROM own GROUP BY event_type
+""")
 def report_merge_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each reporter's mean counts once, however many values are behind it."""
     m = measurements(spark, sf_dir).withColumn("reporter", F.col("user_id") % 10)
-    return stats.merged_mean(m, ["event_type", "reporter"], F.col("cents")).withColumn("mean", F.round("mean", 4))
+    return stats.merged_mean(m, ["event_type"], "reporter", F.col("cents")).withColumn("mean", F.round("mean", 4))
 
 
 @query(f"SELECT user_id, arg_max({CENTS}, event_id) AS cents, arg_max({MS}, event_id) AS ms FROM events GROUP BY user_id")
@@ -113,12 +129,20 @@ def report_stats_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH p AS (SELECT event_type, {MS} // 86400000 AS day, {CENTS} AS total FROM events)
-SELECT event_type, day, count(*) AS paths, round(avg(total), 4) AS avg_ms, min(total) AS min_ms, max(total) AS max_ms FROM p GROUP BY ALL
+WITH e AS (SELECT event_type, {MS} // 86400000 AS day, {CENTS} AS cents FROM events),
+p AS (SELECT event_type, day, cents % 777 AS a, cents // 10 AS b FROM e WHERE cents % 100 = 7),
+i AS (SELECT * FROM (SELECT DISTINCT event_type FROM e), (SELECT DISTINCT day FROM e))
+SELECT i.event_type, i.day, count(a) AS paths, round(coalesce(avg(a + b), 0), 4) AS avg_ms, coalesce(min(a + b), 0) AS min_ms, coalesce(max(a + b), 0) AS max_ms, round(avg(a), 4) AS first_ms, round(avg(b), 4) AS second_ms
+FROM i LEFT JOIN p ON p.event_type = i.event_type AND p.day = i.day GROUP BY i.event_type, i.day
 """)
 def path_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of two elements by type and day; days on which a type has no active path get zeros."""
     m = measurements(spark, sf_dir).withColumn("day", F.expr("ms div 86400000"))
-    return stats.path_summary(m, ["event_type", "day"], "cents").withColumn("avg_ms", F.round("avg_ms", 4))
+    intervals = m.select("event_type").distinct().crossJoin(F.broadcast(m.select("day").distinct()))  # a few types, each with each day
+    paths = m.where("cents % 100 = 7").select("event_type", "day", F.array(F.col("cents") % 777, F.expr("cents div 10")).alias("latencies"))
+    out = stats.path_summary(paths, ["event_type", "day"], "latencies", intervals)
+    mean = lambda i: F.round(F.get("elements", F.lit(i)), 4)
+    return out.select("event_type", "day", "paths", F.round("avg_ms", 4).alias("avg_ms"), "min_ms", "max_ms", mean(0).alias("first_ms"), mean(1).alias("second_ms"))
 
 
 @query(f"SELECT event_id, {CENTS} / 200.0 AS waiting, greatest(0.0, {CENTS} % 777 - {CENTS} / 200.0) AS transport FROM events")
@@ -203,8 +227,31 @@ def time_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH r AS (SELECT user_id, event_id, {CENTS} AS cents, avg({CENTS}) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS m FROM events)
-SELECT user_id, round(arg_max(m, event_id), 4) AS mean_cents FROM r GROUP BY user_id
+WITH m AS (SELECT user_id, event_id, {CENTS} AS latency, CASE WHEN user_id % 3 = 0 THEN 0 ELSE {CENTS} % 41 END AS lifetime, {CENTS} % 100 AS mbit, CASE WHEN event_type <> 'error' THEN event_id % 7 END AS per_buffer, CASE WHEN user_id % 5 > 0 THEN event_id % 50 END AS per_second FROM events),
+r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n, avg(latency) OVER w AS l, avg(lifetime) OVER w AS t, avg(mbit) OVER w AS b, avg(per_buffer) OVER w AS p, avg(per_second) OVER w AS s FROM m
+      WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW))
+SELECT user_id, round(coalesce(l, -1), 4) AS mean_latency, round(coalesce(t, -1), 4) AS mean_lifetime, round(coalesce(b, -1), 4) AS mean_mbit, round(coalesce(p, -1), 4) AS mean_per_buffer, round(coalesce(s, -1), 4) AS mean_per_second FROM r WHERE n = 1
 """)
 def qos_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return qos.latest_state(measurements(spark, sf_dir), "user_id", "event_id", ["cents"]).withColumn("mean_cents", F.round("mean_cents", 4))
+    """The five measures of an edge over its last four reports; a chained edge has no buffer, so its lifetime is 0."""
+    m, e = measurements(spark, sf_dir), F.col("event_id")
+    lifetime = qos.buffer_lifetime(F.col("cents") % 41, F.col("user_id") % 3 == 0)
+    own = m.select("user_id", "event_id", F.col("cents").alias("latency"), lifetime.alias("lifetime"), (F.col("cents") % 100).alias("mbit"), F.when(F.col("event_type") != "error", e % 7).alias("per_buffer"), F.when(F.col("user_id") % 5 > 0, e % 50).alias("per_second"))
+    values = ["latency", "lifetime", "mbit", "per_buffer", "per_second"]
+    return qos.latest_state(own, "user_id", "event_id", values).select("user_id", *[F.round(f"mean_{v}", 4).alias(f"mean_{v}") for v in values])
+
+
+@query(f"""
+WITH a AS (SELECT c_custkey AS user_id, c_nationkey AS model, 1700000000000 + c_custkey * 1000 AS at FROM customer WHERE c_custkey % 4 > 0),
+s AS (SELECT n_nationkey AS model, count(*) FILTER (c_custkey % 4 > 0) AS have, count(*) AS members, max(1700000000000 + c_custkey * 1000) FILTER (c_custkey % 4 > 0) AS last FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND (c_custkey % 4 > 0 OR n_nationkey % 2 = 0) GROUP BY ALL),
+t AS (SELECT model, CASE WHEN have = 0 THEN 'EMPTY' WHEN have < members THEN 'SHALLOW' ELSE 'READY' END AS state, last FROM s)
+SELECT event_id, t.model, state FROM events JOIN a USING (user_id) JOIN t USING (model) WHERE state = 'READY' AND {MS} >= last
+""")
+def ready_model_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers are members of their nation's model, and announce themselves unless their number is divisible by 4; of
+    odd nations only those who announce themselves are expected, so that only their models become ready."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("model"))
+    expected = c.where("user_id % 4 > 0 OR model % 2 = 0")
+    announced = c.where("user_id % 4 > 0").withColumn("ms", 1_700_000_000_000 + F.col("user_id") * 1000)
+    state = qos.model_states(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("model")), expected, announced, "model", "user_id", "ms")
+    return qos.ready_measurements(measurements(spark, sf_dir), announced.select("user_id", "model"), state, "user_id", "model", "ms").select("event_id", "model", "state")

@@ -149,30 +149,49 @@ def admission_control(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NEAR = """
-WITH s AS (SELECT l_partkey AS split, l_suppkey AS host FROM lineitem WHERE l_partkey <= 200),
-d AS (SELECT n_nationkey AS instance, s_suppkey AS host, CASE WHEN s_nationkey = n_nationkey THEN 2 ELSE 4 END AS distance FROM nation, supplier WHERE n_nationkey < 3),
-i AS (SELECT DISTINCT instance FROM d),
+WITH s AS (SELECT DISTINCT l_partkey AS split, l_suppkey AS host FROM lineitem),
+d AS (SELECT n_nationkey AS instance, s_suppkey AS host, CASE WHEN s_nationkey = n_nationkey THEN 2 ELSE 4 END AS distance FROM nation, supplier),
 f AS (SELECT d.instance, split, min(distance) AS distance FROM s JOIN d USING (host) GROUP BY ALL)
-SELECT instance, split, distance, row_number() OVER (PARTITION BY instance ORDER BY distance, split) AS rank FROM f
+SELECT instance, split, distance, CAST(row_number() OVER (PARTITION BY instance ORDER BY distance, split) AS INT) AS rank FROM f
 """
 
 
 @query(_NEAR)
 def nearest_split_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    splits = table(spark, sf_dir, "lineitem").where("l_partkey <= 200").select(F.col("l_partkey").alias("split"), F.col("l_suppkey").alias("host")).distinct()
-    n = table(spark, sf_dir, "nation").where("n_nationkey < 3")
+    """Parts as splits on their suppliers' hosts, nations as instances: 25 rows, each with each host."""
+    splits = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("split"), F.col("l_suppkey").alias("host")).distinct()
+    n = table(spark, sf_dir, "nation")
     d = table(spark, sf_dir, "supplier").join(F.broadcast(n), F.lit(True)).select(F.col("n_nationkey").alias("instance"), F.col("s_suppkey").alias("host"), F.when(F.col("s_nationkey") == F.col("n_nationkey"), 2).otherwise(4).alias("distance"))
     return tm.nearest_splits(splits, d)
 
 
-@query("SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY 1, 2 LIMIT 100")
+@query()
+def nearest_split_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations claim suppliers as splits, the nearest by the difference of nations first, until all are claimed."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("instance"))
+    near = table(spark, sf_dir, "supplier").join(F.broadcast(n), F.lit(True))
+    return tm.claimed_splits(near.select("instance", F.col("s_suppkey").alias("split"), F.abs(F.col("instance") - F.col("s_nationkey")).alias("distance")))
+
+
+@query("SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS place, l_partkey, l_suppkey FROM lineitem")
 def fifo_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first hundred splits that are handed out."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
-    return li.orderBy("l_orderkey", "l_linenumber").limit(100)
+    """The place of every split in the queue."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return tm.fifo_splits(li, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
-@query()
+@query("""
+WITH RECURSIVE q AS (SELECT o_custkey % 100 AS instance, o_orderkey, 1 + o_orderkey % 3 AS cores, 1 + o_orderkey % 4 AS units, 256 * (1 + o_orderkey % 5) AS memory, 1 + o_orderkey % 2 AS disk,
+  row_number() OVER (PARTITION BY o_custkey % 100 ORDER BY o_orderkey) AS k FROM orders),
+r AS (
+  SELECT instance, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS o_orderkey, CAST(64 AS BIGINT) AS c, CAST(80 AS BIGINT) AS u, CAST(16384 AS BIGINT) AS m, CAST(40 AS BIGINT) AS d, false AS granted FROM (SELECT DISTINCT instance FROM q)
+  UNION ALL
+  SELECT q.instance, q.k, q.o_orderkey, CASE WHEN fits THEN c - cores ELSE c END, CASE WHEN fits THEN u - units ELSE u END, CASE WHEN fits THEN m - memory ELSE m END, CASE WHEN fits THEN d - disk ELSE d END, fits
+  FROM (SELECT q.*, r.c, r.u, r.m, r.d, cores <= c AND units <= u AND memory <= m AND disk <= d AS fits FROM r JOIN q ON q.instance = r.instance AND q.k = r.k + 1) q)
+SELECT instance, o_orderkey, granted FROM r WHERE k > 0
+""")
 def slice_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("instance"), "o_orderkey", (1 + F.col("o_orderkey") % 7).alias("cores"))
-    return tm.pack_slices(r, "instance", "o_orderkey", "cores", 64)
+    """Slices of cores, units, memory and disk."""
+    k = F.col("o_orderkey")
+    r = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("instance"), "o_orderkey", (1 + k % 3).alias("cores"), (1 + k % 4).alias("units"), (256 * (1 + k % 5)).alias("memory"), (1 + k % 2).alias("disk"))
+    return tm.pack_slices(r, "instance", "o_orderkey", {"cores": 64, "units": 80, "memory": 16384, "disk": 40}).select("instance", "o_orderkey", "granted")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -178,8 +179,8 @@ def test_graphs_of_whole_tables(spark, sf_dir):
     for n in sorted(ties):
         if n not in want:
             want.update(dict.fromkeys(reached(n, ties), n))
-    assert {r.node for r in graphs.order_reach_whole(spark, sf_dir).collect()} == reached("c1", out)
-    assert {r.node: r.component for r in graphs.supply_components_whole(spark, sf_dir).collect()} == want
+    assert {r.node for r in graphs.order_reach(spark, sf_dir).collect()} == reached("c1", out)
+    assert {r.node: r.component for r in graphs.supply_components(spark, sf_dir).collect()} == want
 
 
 def test_rack_distances(spark):
@@ -213,5 +214,106 @@ def test_exception_reaches_the_client(spark):
 
 
 def test_slices_fit(spark):
-    df = spark.createDataFrame([(0, 1, 5), (0, 2, 4), (0, 3, 3), (1, 1, 9)], "i int, o long, c int")
-    assert sorted((r.i, r.o, r.granted) for r in telemetry.pack_slices(df, "i", "o", "c", 8).collect()) == [(0, 1, True), (0, 2, False), (0, 3, True), (1, 1, False)]
+    df = spark.createDataFrame([(0, 1, 5, 1), (0, 2, 4, 1), (0, 3, 3, 1), (0, 4, 0, 7), (0, 5, 0, 6), (1, 1, 9, 0), (1, 2, 8, 8)], "i int, o long, c int, m int")
+    got = sorted((r.i, r.o, r.granted) for r in telemetry.pack_slices(df, "i", "o", {"c": 8, "m": 8}).collect())
+    assert got == [(0, 1, True), (0, 2, False), (0, 3, True), (0, 4, False), (0, 5, True), (1, 1, False), (1, 2, True)]
+
+
+def test_cycles_against_all_paths(spark):
+    """Strongly connected components of random graphs, nested and touching ones, by comparing what vertices reach."""
+    rng = random.Random(6)
+    for n, m in ((12, 14), (12, 20), (30, 36)):
+        e = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)}
+        far = {a: {b for x, b in e if x == a} for a in range(n)}
+        while True:
+            new = {a: far[a] | {c for b in far[a] for c in far[b]} for a in far}
+            if new == far:
+                break
+            far = new
+        want = sorted(a for a in far if any(b != a and a in far[b] for b in far[a]))
+        df = spark.createDataFrame(sorted(e), "src long, dst long")
+        assert sorted(r.node for r in graph.cycle_vertices(df).collect()) == want
+
+
+def test_sharing_cycles(spark):
+    v = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("d", "d"), ("e", "a"), ("f", None)], "id string, share_with string")
+    assert sorted(r.node for r in graph.sharing_cycles(v).collect()) == ["b", "c", "d"]
+
+
+def test_levels_of_a_cycle_raise(spark):
+    v = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("e",)], "id string")
+    with pytest.raises(ValueError, match="cycle"):
+        graph.levels(v, graphs.cyclic(spark))
+
+
+def test_best_merge_by_all_runs(spark):
+    """Also where the line of sums is cut into short stretches."""
+    rng, rows = random.Random(7), []
+    for w in range(6):
+        rows += [(w, i, rng.randrange(1, 60)) for i in range(rng.choice((1, 5, 60)))]
+    want = {}
+    for w in range(6):
+        cpu = [c for x, _, c in rows if x == w]
+        runs = [(sum(cpu[a : b + 1]), -a, -b) for a in range(len(cpu)) for b in range(a + 1, len(cpu)) if sum(cpu[a : b + 1]) <= 91]
+        if runs:
+            c, a, b = max(runs)
+            want[w] = (-a, -b, c)
+    df = spark.createDataFrame(rows, "worker long, idx long, cpu long")
+    for stretch in (1 << 18, 100):
+        assert {r.worker: (r.first, r.last, r.cpu) for r in qos.best_merge(df, stretch=stretch).collect()} == want
+
+
+def test_blocks_change_nothing(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", ((F.col("event_id") * 7919) % 1009).alias("at"))
+    one, many = (sorted(map(tuple, stats.stale_values(e, ["user_id"], "at", "event_id", block).collect())) for block in (1 << 32, 50))
+    assert one == many and one
+    a, b = (sorted(map(tuple, numbering.prefix_sums(e, "user_id", "event_id", "at", "s", block).collect())) for block in (1 << 18, 30))
+    assert a == b
+
+
+def test_claims_by_hand(spark):
+    """Each round every instance asks for its nearest split; a split goes to the nearest asker."""
+    rng = random.Random(8)
+    near = {(i, s): rng.randrange(9) for i in range(5) for s in range(17)}
+    left, want, k = set(range(17)), {}, 0
+    while left:
+        asked = {}
+        for i in range(5):
+            d, s = min((near[i, s], s) for s in left)
+            asked.setdefault(s, []).append((d, i))
+        for s, who in asked.items():
+            want[s] = (min(who)[1], k)
+            left.discard(s)
+        k += 1
+    df = spark.createDataFrame([(i, s, d) for (i, s), d in near.items()], "instance long, split long, distance long")
+    assert {r.split: (r.instance, r["round"]) for r in telemetry.claimed_splits(df).collect()} == want
+
+
+def test_latency_by_emissions(spark):
+    """The same rows as on the stream."""
+    rows = [("v", 0, 0, 1, 0), ("v", 1, 5, 1, 0), ("v", 2, 10, 0, 1), ("v", 3, 110, 0, 1), ("v", 4, 120, 1, 0), ("v", 5, 300, 0, 1), ("v", 6, 301, 0, 1)]
+    df = spark.createDataFrame(rows, "v string, seq long, ms long, got int, sent int")
+    assert sorted(map(tuple, stats.latency_by_emissions(df, "v", "seq", "ms", "got", "sent", 2).collect())) == [("v", 110, 2, 55), ("v", 301, 1, 181)]
+
+
+def test_model_states(spark):
+    models, expected = spark.createDataFrame([("m",), ("n",), ("o",)], "m string"), spark.createDataFrame([("m", 1), ("m", 2), ("n", 3), ("n", 4), ("o", 5)], "m string, k int")
+    said = spark.createDataFrame([("m", 1, 10), ("m", 2, 20), ("m", 1, 30), ("n", 3, 5)], "m string, k int, t long")
+    states = qos.model_states(models, expected, said, "m", "k", "t")
+    assert sorted(map(tuple, states.collect())) == [("m", "READY", 20), ("n", "SHALLOW", None), ("o", "EMPTY", None)]
+    measured = spark.createDataFrame([(1, 19), (1, 20), (3, 99)], "k int, t long")
+    assert [(r.k, r.t) for r in qos.ready_measurements(measured, expected, states, "k", "m", "t").collect()] == [(1, 20)]
+
+
+def test_hot_nodes_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(graph, "FEW", 20)
+    monkeypatch.setattr(graph, "HOT", 15)
+    e = spark.createDataFrame([(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(30)], "src long, dst long")
+    got = {r.node: r.component for r in graph.components(e.select(F.col("src").alias("node")).union(e.select("dst")), e).collect()}
+    assert got == {i: 0 for i in range(60)} | {100 + i: 100 for i in range(31)}
+
+
+def test_control_events_keep_their_place(spark):
+    data, control = spark.createDataFrame([(i, f"r{i}") for i in range(4)], "seq long, value string"), spark.createDataFrame([(2, "stop")], "seq long, event string")
+    merged = records.merge_control(data, control, "seq").orderBy("seq", "kind").collect()
+    assert [r.event or r.value for r in merged] == ["r0", "r1", "stop", "r2", "r3"]

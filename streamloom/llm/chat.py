@@ -53,6 +53,11 @@ def unescape(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, r"\\\\"), mend), "\\")
 
 
+def loss_text(segments: Column) -> Column:
+    """All text under the loss mask: the segments that have the flag, unescaped, in a row."""
+    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+
+
 def _pieces(turn: Column, t: Template) -> Column:
     """The segments of one turn: (text, loss)."""
     piece = lambda text, loss=False: F.struct(text.alias("text"), F.lit(loss).alias("loss"))

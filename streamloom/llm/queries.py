@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .bpe import byte_bpe
-from .chat import format_chats, read_back
+from .chat import format_chats, loss_text, read_back
 from .common import held_out, read
 from .decontaminate import contamination
 from .jaccard_join import jaccard_join
@@ -55,7 +55,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = format_chats(rows.union(spark.createDataFrame(CONTROL_CHAT, "conv_id long, turn long, role string, text string")))
     back = chats.withColumn("turns", read_back(F.col("formatted")))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    back = back.withColumn("loss_text", F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), ""))
+    back = back.withColumn("loss_text", loss_text(F.col("segments")))
     return back.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"),
         F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "valid",

@@ -15,7 +15,7 @@ from .common import cut
 OVERHEAD = 16
 #: Ranges of digests that one look at the groups returns at most (about).
 UNITS = 1 << 14
-#: Rows that one task numbers within a shard, on average.
+#: Rows that one task numbers within a shard, on average, even if all rows were in one shard.
 ROWS_PER_BIN = 200_000
 
 
@@ -139,7 +139,7 @@ def shard_documents(docs: DataFrame, shards: int, id_col: str = "doc_id", text_c
     groups = cut(rows.groupBy("digest").agg(F.sum("size").alias("size"), F.count("*").alias("rows")))
     starts = plan_shards(groups, shards)
     n = int(groups.agg(F.sum("rows")).first()[0] or 0)
-    bins = max(1, -(-n // (shards * ROWS_PER_BIN)))
+    bins = max(1, -(-n // ROWS_PER_BIN))
     shard = F.lit(0)
     for s in starts:
         shard = shard + (F.col("digest") >= F.lit(s)).cast("int")

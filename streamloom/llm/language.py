@@ -17,23 +17,28 @@ from pyspark.sql.window import Window
 
 from .common import held_out, without
 
-#: Documents of each language to learn from, at most: those with the least hash of their id; runs of words from each.
-DOCS, RUNS, RUN_WORDS = 300, 6, 20
+#: Documents of each language to learn from, at most: those with the least hash of their id. Their whole texts are cut
+#: into runs of so many words.
+DOCS, RUN_WORDS = 120, 20
 #: Buckets of hashed features; a word of the lexicon occurs at least so often in the sample.
 BUCKETS, LEXICON = 1 << 16, 4
 PASSES, BATCH, RATE = 6, 64, 0.2
-#: Words that a worker remembers, and padded words that are labelled at a time.
-REMEMBERED, CELLS = 400_000, 400_000
+#: Words that a task remembers, and padded words that are labelled at a time; longer texts are labelled in blocks.
+REMEMBERED, CELLS = 150_000, 200_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return [w for w in WORD.findall(text.lower()) if w.isalpha()] if not text.isascii() else WORD.findall(text.lower())
+    """Runs of letters, in lower case; other signs that count as parts of words, such as raised digits, end a run."""
+    found = WORD.findall(text.lower())
+    if text.isascii():
+        return found
+    return [w for f in found for w in ([f] if f.isalpha() else "".join(c if c.isalpha() else " " for c in f).split())]
 
 
 def feature_ids(word: str, lexicon: dict[str, int]) -> list[int]:
     """Affixes up to four characters, inner n-grams of two and three, and the place in the lexicon."""
-    w = word[:40]
+    w = word
     names = {f"p{w[:n]}" for n in range(1, 5)} | {f"s{w[-n:]}" for n in range(1, 5)} | {f"g{w[i : i + n]}" for n in (2, 3) for i in range(len(w) - n + 1)}
     out = [zlib.crc32(x.encode()) % BUCKETS for x in sorted(names)]
     return out + ([BUCKETS + lexicon[word]] if word in lexicon else [])
@@ -74,6 +79,32 @@ def forward_backward(e: np.ndarray, sizes: np.ndarray, start: np.ndarray, step:
     return alpha, beta
 
 
+def long_marginals(table: np.ndarray, places: np.ndarray, start: np.ndarray, step: np.ndarray, size: int) -> np.ndarray:
+    """Sum of the marginals of one long sequence of words, given as rows of ``table``, with the vectors of one block in
+    memory at a time: a first pass keeps what each block begins with, a second one goes back over the blocks."""
+    def forward(e: np.ndarray, head: np.ndarray) -> np.ndarray:
+        alpha = np.empty_like(e)
+        for t in range(len(e)):
+            a = head * e[t]
+            alpha[t] = a / a.sum()
+            head = alpha[t] @ step
+        return alpha
+
+    blocks, heads = [places[a : a + size] for a in range(0, len(places), size)], [start]
+    for b in blocks[:-1]:
+        heads.append(forward(table[b], heads[-1])[-1] @ step)
+    total, tail = np.zeros(len(start)), np.ones(len(start))
+    for b, head in zip(reversed(blocks), reversed(heads), strict=True):
+        e = table[b]
+        alpha = forward(e, head)
+        for t in range(len(e) - 1, -1, -1):
+            p = alpha[t] * tail
+            total += p / p.sum()
+            tail = step @ (tail * e[t])
+            tail /= tail.sum()
+    return total
+
+
 def marginals(alpha: np.ndarray, beta: np.ndarray) -> np.ndarray:
     p = alpha * beta
     return p / np.maximum(p.sum(axis=2, keepdims=True), 1e-300)
@@ -131,8 +162,9 @@ def _train(runs: list[tuple[str, list[str]]]) -> LanguageModel:
 
 def fit_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel | None:
     """Learn from text and language of at most ``DOCS`` documents a language whose id is not held out; None if no
-    document has both. Short runs of words, spread evenly over each whole text, reach the driver."""
-    usable = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(doc_id)))
+    document has both. All words of those texts reach the driver, in short runs. Repeated ids count as one of the bound,
+    with all their texts; null ids, texts and languages are left out, so is every other column."""
+    usable = docs.where(F.col(doc_id).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(doc_id)))
     rank = F.row_number().over(Window.partitionBy(lang).orderBy(F.xxhash64(doc_id), doc_id))
     chosen = usable.select(doc_id, lang).withColumn("__n", rank).where(F.col("__n") <= DOCS).select(F.col(doc_id).alias("__id")).distinct()
 
@@ -140,8 +172,7 @@ def fit_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", la
         for b in batches:
             for name, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 w = words_of(t.as_py())
-                starts = sorted({i * max(len(w) - RUN_WORDS, 0) // max(RUNS - 1, 1) for i in range(RUNS)})
-                found = [r for s in starts if (r := w[s : s + RUN_WORDS])]
+                found = [w[s : s + RUN_WORDS] for s in range(0, len(w), RUN_WORDS)]
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(found), pa.string()), "words": pa.array(found, pa.list_(pa.string()))})
 
     picked = usable.join(F.broadcast(chosen), F.col(doc_id) == F.col("__id")).select(lang, text).mapInArrow(runs, "lang string, words array<string>")
@@ -152,8 +183,10 @@ def fit_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", la
 def predict_language(docs: DataFrame, model: LanguageModel | None, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` with the language that most of the text's words are in, by their mean marginals, and that mean.
 
-    Null texts and texts without a letter get ``und`` and score 0. Whole texts are labelled; rows and other columns stay
-    as they are, but columns already named like the results are replaced.
+    Null texts and texts without a letter get ``und`` and score 0; so do all without a model. Of languages with equal
+    means the first by name is taken. Whole texts are labelled, very long ones block by block; rows, repeated ones too,
+    and other columns stay as they are, but columns already named like the results are replaced; an empty table gives no
+    rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = without(docs, pred, score)
@@ -190,7 +223,11 @@ def predict_language(docs: DataFrame, model: LanguageModel | None, text: str = "
 
 def _label(m: LanguageModel | None, table: np.ndarray, todo: list[tuple[int, np.ndarray]], langs: np.ndarray, scores: np.ndarray) -> None:
     """Label documents of similar length together, longest first."""
-    todo = sorted(todo, key=lambda x: -len(x[1]))
+    for i, x in todo:
+        if len(x) > CELLS:
+            mean = long_marginals(table, x, m.start, m.step, CELLS) / len(x)
+            langs[i], scores[i] = mean.argmax(), np.clip(mean.max(), 0, 1)
+    todo = sorted([x for x in todo if len(x[1]) <= CELLS], key=lambda x: -len(x[1]))
     at = 0
     while at < len(todo):
         n = len(todo[at][1])

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -12,47 +14,61 @@ from pyspark.sql import DataFrame
 from .shingles import minima, permutations, row_shingles
 
 WORDS, CONTAINMENT = 5, 0.8
-#: A band is one minimum. A window of up to 2 * n shingles that holds 0.8 of a template's n has a Jaccard similarity of
-#: at least 0.8 / (1 + 2 - 0.8) = 0.36, so that all 24 bands miss it with a chance of 0.64**24 = 2e-5.
+#: A band is one minimum. A window of at most 2 * n shingles that holds 0.8 of a template's n has a Jaccard similarity of at
+#: least 0.8 / (1 + 2 - 0.8) = 0.36, so that all 24 bands miss it with a chance of 0.64**24 = 2e-5.
 BANDS = 24
 
-#: Short notices by which licenses are named in texts, and common openings of their full texts.
-TEMPLATES = {
+#: Single sentences by which licenses are named in texts. Whole license texts and the notices that go into
+#: files are in the folder license_texts.
+SENTENCES = {
     "all-rights-reserved": "All rights reserved.",
-    "apache-2.0": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "apache-2.0-short": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+    "bsd-short": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-sa": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction,",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "gpl-3.0-short": "This work is licensed under the GNU General Public License, version 3.",
+    "gpl-3.0-terms": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "mit-short": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction,",
+    "mpl-2.0-short": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+_MARKS = re.compile(r"[\W_]+")
+
+
+def templates_of_texts() -> dict[str, str]:
+    """The sentences, and every text of the folder by its name."""
+    folder = resources.files(__package__) / "license_texts"
+    return SENTENCES | {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in folder.iterdir() if f.name.endswith(".txt")}
+
+
+def plain_words(text: str) -> str:
+    """Letters and digits in lower case; punctuation, quotes, comment marks and white space are single spaces."""
+    return _MARKS.sub(" ", text.lower())
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, doc_id: str = "doc_id", text: str = "text", containment: float = CONTAINMENT) -> DataFrame:
     """(doc_id, license, containment, first_shingle, n_shingles) for each row and template that its text holds.
 
-    For each size of template (rounded up to a power of two, s) the text's 5-word shingles are cut into windows of 2 s
-    every s / 2, so that each passage of s shingles lies whole in one. A window whose MinHash shares one of
-    ``BANDS`` minima with a template of that size is compared with it: containment is the exact share of the
-    template's distinct shingles in the window. The best window of a text counts, the first of equals. Words are
-    compared in lower case; templates of one to four words are single shingles of that many words and found by
-    equality of all words of that length. Null and blank texts hold nothing, an empty table gives no rows, repeated
-    rows repeat their results. Nothing is shuffled; templates are few and go to all tasks.
+    For each size of template, s shingles, the text's 5-word shingles are cut into windows of 2 s every s / 2, so that
+    each passage of s shingles lies whole in one. A window whose MinHash shares one of ``BANDS`` minima with a template
+    of that size is compared with it: containment is the exact share of the template's distinct shingles in the window.
+    The best window of a text counts, the first of equals. Words are runs of letters and digits, in lower case, so that
+    quotes, line ends and comment marks make no difference; templates of one to four words are single shingles of that
+    many words and found by equality. Null and blank texts hold nothing, an empty table gives no rows, repeated rows
+    repeat their results, other columns are left out. Long texts are searched whole. Nothing is shuffled; templates are
+    few and go to all tasks.
     """
-    given = {n: t for n, t in (TEMPLATES if templates is None else templates).items() if t and t.split()}
+    given = {n: w for n, t in (templates_of_texts() if templates is None else templates).items() if t and (w := plain_words(t)).strip()}
     names = sorted(given)
     perms = permutations(BANDS, 8)
     by_k: dict[int, list[tuple[str, np.ndarray]]] = defaultdict(list)
     for n in names:
         k = min(WORDS, len(given[n].split()))
-        _, _, sh, _ = next(row_shingles([given[n].lower()], k))
+        _, _, sh, _ = next(row_shingles([given[n]], k))
         by_k[k].append((n, np.unique(sh)))
     sized: dict[tuple[int, int], list[tuple[str, np.ndarray, np.ndarray]]] = defaultdict(list)
     for k, found in by_k.items():
         for n, sh in found:
-            sized[k, 1 << int(len(sh) - 1).bit_length()].append((n, sh, minima(sh, np.array([0, len(sh)]), perms)[0]))
+            sized[k, len(sh)].append((n, sh, minima(sh, np.array([0, len(sh)]), perms)[0]))
     kinds = sorted(by_k)
     schema = f"{doc_id} {docs.schema[doc_id].dataType.simpleString()}, license string, containment double, first_shingle long, n_shingles long"
 
@@ -83,7 +99,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, doc_
         every = {k: np.unique(np.concatenate([sh for _, sh in by_k[k]])) for k in kinds}
         for batch in batches:
             ids = batch.column(0)
-            texts = [None if t is None else t.lower() for t in batch.column(1).to_pylist()]
+            texts = [None if t is None else plain_words(t) for t in batch.column(1).to_pylist()]
             rows: list[tuple[int, str, float, int, int]] = []
             for k in kinds:
                 for a, b, sh, ends in row_shingles(texts, k):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import itertools
 import math
 import random
 import re
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from streamloom.llm import bpe, quality
+from streamloom.llm import bpe, quality, shards
 from streamloom.llm import jaccard_join as jj
 from streamloom.llm import queries as q
 from streamloom.llm import toxicity as tox
@@ -20,9 +21,12 @@ from streamloom.llm.bpe import ByteBpe
 from streamloom.llm.common import held_out
 from streamloom.llm.decontaminate import contamination
 from streamloom.llm.jaccard_join import bands_for, jaccard_join
-from streamloom.llm.licenses import TEMPLATES, scan_licenses
+from streamloom.llm.licenses import plain_words, scan_licenses, templates_of_texts
+from streamloom.llm.language import LanguageModel, _label, forward_backward, long_marginals, marginals, words_of
 from streamloom.llm.shards import shard_documents
 
+OPEN = shards._open_units
+
 
 @pytest.fixture(scope="module")
 def docs(spark, sf_dir):
@@ -211,6 +215,16 @@ def test_shards_are_minimax(docs):
     assert got.groupBy("text_crc32", "size").agg(F.countDistinct("shard").alias("n")).where("n > 1").isEmpty()
 
 
+@pytest.mark.parametrize("units", [16, 64])
+def test_shards_by_rounds(docs, units, monkeypatch):
+    """With few cells at a time the cuts are refined in rounds, and stay the same."""
+    once = {(r.doc_id, r.text_crc32): r.shard for r in shard_documents(docs, 7).collect()}
+    looks = []
+    monkeypatch.setattr(shards, "UNITS", units)
+    monkeypatch.setattr(shards, "_open_units", lambda *a: looks.append(1) or OPEN(*a))
+    assert {(r.doc_id, r.text_crc32): r.shard for r in shard_documents(docs, 7).collect()} == once and len(looks) > 1
+
+
 def test_quality_statistics(spark, docs):
     rows = docs.select("doc_id", "text").collect()
     got = {r.doc_id: r for r in q.quality_rules(docs).collect()}
@@ -339,20 +353,34 @@ def test_label_model_by_hand():
 
 def test_licenses(docs):
     got = {(r.doc_id, r.license) for r in scan_licenses(docs).collect()}
-    want = set()
+    want, templates = set(), {n: plain_words(t).split() for n, t in templates_of_texts().items()}
     for r in docs.select("doc_id", "text").collect():
-        w = r.text.lower().split()
-        for n, t in TEMPLATES.items():
-            own = t.lower().split()
+        w = plain_words(r.text or "").split()
+        for n, own in templates.items():
             k = min(5, len(own))
             mine = {tuple(own[i : i + k]) for i in range(len(own) - k + 1)}
-            size = 1 << (len(mine) - 1).bit_length()
             s = [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
-            if any(x in mine for x in s) and any(len(mine & set(s[i : i + 2 * size])) >= 0.8 * len(mine) for i in range(len(s))):
+            if any(x in mine for x in s) and any(len(mine & set(s[i : i + 2 * len(mine)])) >= 0.8 * len(mine) for i in range(len(s))):
                 want.add((r.doc_id, n))
     assert got == want and want
 
 
+def test_licenses_in_files(spark):
+    """Whole texts and notices as they stand in source files: behind comment marks, wrapped, quoted, with a few words changed."""
+    rng, rows = random.Random(3), []
+    for n, (name, t) in enumerate(sorted(templates_of_texts().items())):
+        words = t.split()
+        lines = [" ".join(words[i : i + 9]) for i in range(0, len(words), 9)]
+        rows.append((n, name, "int main() {}\n" + "\n".join(f"# {x}" for x in lines) + "\nreturn 0"))
+        rows.append((n + 100, name, "/*\n" + "\n".join(f" * {x}" for x in lines) + "\n */ more of it"))
+        if len(words) > 60:
+            for at in range(30, len(words), 60):
+                words[at] = f"other{rng.randrange(99)}"
+            rows.append((n + 200, name, "before " + " ".join(words) + " after"))
+    df = spark.createDataFrame(rows, "doc_id long, name string, text string")
+    assert scan_licenses(df).join(df.select("doc_id", F.col("name").alias("license")), ["doc_id", "license"]).count() == len(rows)
+
+
 @pytest.fixture(scope="module")
 def own_bpe():
     path, pattern = q.tokenizer()
@@ -399,6 +427,48 @@ def test_bpe_patterns(own_bpe):
         ByteBpe(ranks, r"[a-z]+").encode("ab cd")
 
 
+def test_forward_backward_by_enumeration():
+    """Marginals of a chain against the sum over all ways to label it; in blocks too, and for sequences side by side."""
+    rng = np.random.default_rng(4)
+    table, start, step = rng.random((6, 3)), rng.random(3), rng.random((3, 3))
+    for n in (1, 2, 6):
+        x = rng.integers(0, 6, n)
+        want = np.zeros((n, 3))
+        for path in itertools.product(range(3), repeat=n):
+            p = start[path[0]] * np.prod([table[x[t], c] for t, c in enumerate(path)]) * np.prod([step[a, b] for a, b in itertools.pairwise(path)])
+            for t, c in enumerate(path):
+                want[t, c] += p
+        want /= want.sum(axis=1, keepdims=True)
+        y = rng.integers(0, 6, 3)
+        longest = max(n, 3)
+        e, sizes = np.ones((longest, 2, 3)), np.array([longest, min(n, 3)])
+        for j, z in enumerate(sorted((x, y), key=len, reverse=True)):
+            e[: len(z), j] = table[z]
+        p = marginals(*forward_backward(e, sizes, start, step))
+        assert np.allclose(p[:n, 0 if n >= 3 else 1], want)
+        for size in (1, 2, 4, 9):
+            assert np.allclose(long_marginals(table, x, start, step, size), want.sum(axis=0))
+
+
+def test_long_texts_in_blocks(monkeypatch):
+    from streamloom.llm import language
+
+    rng = np.random.default_rng(8)
+    m = LanguageModel(["a", "b"], {}, np.zeros((1, 2)), np.array([0.6, 0.4]), np.array([[0.8, 0.2], [0.3, 0.7]]))
+    table, todo = rng.random((50, 2)), [(i, rng.integers(1, 50, n)) for i, n in enumerate((3, 400, 70))]
+    found = []
+    for cells in (1000, 40):
+        monkeypatch.setattr(language, "CELLS", cells)
+        langs, scores = np.zeros(3, int), np.zeros(3)
+        _label(m, table, todo, langs, scores)
+        found.append((langs.tolist(), scores))
+    assert found[0][0] == found[1][0] and np.allclose(found[0][1], found[1][1])
+
+
+def test_letters_end_at_other_signs():
+    assert words_of("10 km² n°3 Straße x_y ²") == ["km", "n", "straße", "x", "y"] and words_of("12 ² _") == []
+
+
 @pytest.mark.parametrize(("name", "least"), [("op3_toxicity", 0.9), ("op7_language", 0.95)])
 def test_held_out_accuracy(spark, name, least):
     sf = "/root/testdata/sf0.01"

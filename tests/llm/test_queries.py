@@ -47,3 +47,24 @@ def test_pipeline(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.where("NOT round_trip").isEmpty() and {r.doc_id for r in out.select("doc_id").collect()} == {r.doc_id for r in left.select("doc_id").collect()}
     assert out.agg(F.min("n_tokens")).first()[0] > 0
+
+
+ROWS = [(1, None, "en", "s"), (2, "", "en", "s"), (3, " \n ", None, None), (None, "x " * 80, "fr", "s"), (4, " ".join(f"w{i}" for i in range(60)), "en", "s"), (4, " ".join(f"w{i}" for i in range(60)), "en", "s"), (5, " ".join(f"w{i}" for i in range(60)), "en", "t"), (6, " ".join(f"v{i}" for i in range(30000)), None, "t")]
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_stages_on_odd_rows(spark, sf_dir, empty):
+    """Nulls, blanks, a long text, repeated rows and no rows at all; columns named like the stages' own keep their values."""
+    docs = spark.createDataFrame(ROWS[: 0 if empty else None], "doc_id long, text string, lang string, source string")
+    for n, c in enumerate(("digest", "__key", "__digest", "__score", "__d", "keep", "kept", "score", "ids", "w", "n", "g")):
+        docs = docs.withColumn(c, F.lit(f"mine{n}"))
+    own = {r for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, sf_dir)
+        rows = after.collect()
+        assert after.columns == docs.columns and set(rows) <= own, name
+        ids = sorted((r.doc_id or 0) for r in rows)
+        if not empty:
+            assert ids == {"quality rules": [4, 4, 5, 6], "toxicity": [0, 1, 2, 3, 4, 4, 5, 6], "n-gram Jaccard join": [0, 1, 2, 3, 4, 6], "benchmark decontamination": [0, 1, 2, 3, 4, 4, 5, 6]}[name], name
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert out.count() == docs.count() and out.where("NOT round_trip").isEmpty()

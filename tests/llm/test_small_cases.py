@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from streamloom.llm.bpe import byte_bpe
-from streamloom.llm.chat import format_chats, read_back
+from streamloom.llm.chat import format_chats, loss_text, read_back
 from streamloom.llm.decontaminate import contamination
 from streamloom.llm.jaccard_join import jaccard_join
 from streamloom.llm.language import fit_language, predict_language
@@ -71,6 +71,8 @@ def test_chat(spark):
     assert said[None] == [("user", "hi", False)] and said[3] == [("system", "", False), ("tool [/ROLE] </s>", "é😀", False)]
     assert said[4] == [("user", LONG, False)] * 2 and got[4].bad_turn == 1
     assert "".join(s.text for s in got[1].segments) == got[1].formatted
+    masked = {r.conv_id: r.said for r in format_chats(df).select("conv_id", loss_text(F.col("segments")).alias("said")).collect()}
+    assert masked == {k: "".join(text for _, text, loss in v if loss) for k, v in said.items()} and masked[1] == rows[1][3]
     assert format_chats(df.limit(0)).count() == 0
 
 
@@ -112,7 +114,7 @@ def test_language(docs, none):
 def test_licenses(spark, none):
     rows = [(1, "x ALL rights\nreserved. y"), (2, None), (3, ""), (4, "all rights"), (5, LONG + " This work is licensed under the GNU General Public License, version 3. " + LONG), (5, LONG), (None, "all rights reserved.")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("license", F.lit(1))
-    assert sorted(((r.doc_id or 0), r.license, r.containment) for r in scan_licenses(df).collect()) == [(0, "all-rights-reserved", 1.0), (1, "all-rights-reserved", 1.0), (5, "gpl-3.0", 1.0)]
+    assert sorted(((r.doc_id or 0), r.license, r.containment) for r in scan_licenses(df).collect()) == [(0, "all-rights-reserved", 1.0), (1, "all-rights-reserved", 1.0), (5, "gpl-3.0-short", 1.0)]
     assert scan_licenses(none).count() == 0 and scan_licenses(df, {}).count() == 0
 
 

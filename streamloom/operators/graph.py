@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,12 +17,15 @@ FEW, HOT = 200_000, 20_000
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """End of lineage: a checkpoint in the shared folder where one is set; small local graphs do without."""
+    """End of lineage: a checkpoint in the folder of ``spark.checkpoint.dir``. Only a local session without one, as in
+    tests, gets a temporary folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            return df.cache()
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         sc.setCheckpointDir(folder)
     return df.checkpoint()
 

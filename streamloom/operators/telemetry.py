@@ -70,6 +70,15 @@ def as_json(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(F.to_json(F.struct(*columns)).alias("json"))
 
 
+def job_detail(events: DataFrame, job: str, vertex: str, seq: str, state: str, time: str) -> DataFrame:
+    """One JSON text for each job: its vertices in order, each with its last state and when it first had each state."""
+    first = events.groupBy(job, vertex, state).agg(F.min(time).alias("__ms"))
+    times = first.groupBy(job, vertex).agg(F.sort_array(F.collect_list(F.struct(F.col("__ms").alias("ms"), F.col(state).alias("state")))).alias("times"))
+    last = events.groupBy(job, vertex).agg(F.max_by(state, seq).alias("state"))
+    per = last.join(times, [job, vertex]).groupBy(F.col(job).alias("job")).agg(F.sort_array(F.collect_list(F.struct(F.col(vertex).alias("vertex"), "state", "times"))).alias("vertices"))
+    return per.select("job", F.to_json(F.struct("job", "vertices")).alias("json"))
+
+
 def alive(beats: DataFrame, instance: str, time: Column, now: Column, timeout: int = 120_000) -> DataFrame:
     """Last sign of life of each instance, and whether it is recent enough."""
     return beats.groupBy(instance).agg(F.max(time).alias("last_ms")).withColumn("alive", F.col("last_ms") + timeout >= now)

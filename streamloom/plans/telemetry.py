@@ -83,6 +83,18 @@ def job_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tm.as_json(table(spark, sf_dir, "events"), "event_id", "event_type")
 
 
+@query(f"""
+WITH e AS (SELECT user_id, event_id % 20 AS vertex, event_id, {_STATE} AS state, {MS} AS ms FROM events),
+f AS (SELECT user_id, vertex, state, min(ms) AS ms FROM e GROUP BY ALL),
+t AS (SELECT user_id, vertex, string_agg('{{"ms":' || ms || ',"state":"' || state || '"}}', ',' ORDER BY ms, state) AS times FROM f GROUP BY ALL),
+l AS (SELECT user_id, vertex, arg_max(state, event_id) AS state FROM e GROUP BY ALL)
+SELECT user_id AS job, '{{"job":' || user_id || ',"vertices":[' || string_agg('{{"vertex":' || vertex || ',"state":"' || state || '","times":[' || times || ']}}', ',' ORDER BY vertex) || ']}}' AS json FROM l JOIN t USING (user_id, vertex) GROUP BY user_id
+""")
+def job_detail_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job's vertices with their states and the times of those."""
+    return tm.job_detail(states(spark, sf_dir).withColumn("vertex", F.col("event_id") % 20), "user_id", "vertex", "event_id", "state", "ms")
+
+
 @query("""
 SELECT event_id, event_type, who FROM events JOIN (VALUES ('click', 'a'), ('click', 'b'), ('error', 'a')) s(t, who) ON t = event_type
 """)

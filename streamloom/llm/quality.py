@@ -117,10 +117,6 @@ def _factored(fit: DataFrame) -> DataFrame:
     return fit.withColumn("logdet", reduce(lambda a, i: a + 2 * F.log(F.col(f"l{i}{i}")), range(DIMS), F.lit(0.0)))
 
 
-def _join(rows: DataFrame, table: DataFrame, few: bool) -> DataFrame:
-    return rows.join(F.broadcast(table), "g").drop("n") if few else join_once(rows, table, "g", "n")
-
-
 def _starts(rows: DataFrame) -> DataFrame:
     """Three deterministic starts of each group ``g``, all around the medians: scales from interquartile ranges, with no
     correlations, those of hyperbolic tangents, and those of the directions from the centre. ``n``: rows of the group."""
@@ -128,7 +124,7 @@ def _starts(rows: DataFrame) -> DataFrame:
     scale = [F.greatest((F.get(x, F.lit(2)) - F.get(x, F.lit(0))) / 1.349, F.lit(f)) for x, f in zip(VECTOR, FLOORS, strict=True)]
     middle = cut(q.select("g", "n", *[F.get(x, F.lit(1)).alias(m) for x, m in zip(VECTOR, CENTRES, strict=True)], *[s.alias(f"d{i}") for i, s in enumerate(scale)]))
     z = [(F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"d{i}") for i in range(DIMS)]
-    near = _join(rows, middle, False).select("g", *[v.alias(f"z{i}") for i, v in enumerate(z)])
+    near = join_once(rows, middle, "g", "n").select("g", *[v.alias(f"z{i}") for i, v in enumerate(z)])
     length = F.sqrt(F.greatest(reduce(lambda a, b: a + b, [F.col(f"z{i}") ** 2 for i in range(DIMS)]), F.lit(1e-12)))
     kinds = {"t": lambda i: F.tanh(f"z{i}"), "u": lambda i: F.col(f"z{i}") / length}
     moments = near.groupBy("g").agg(*[F.avg(of(i) * of(j)).alias(f"{name}{i}{j}") for name, of in kinds.items() for i, j in PAIRS])
@@ -142,12 +138,16 @@ def _starts(rows: DataFrame) -> DataFrame:
     return _factored(both.select("g", "n", *CENTRES, "c.*"))
 
 
-def _meet(rows: DataFrame, fit: DataFrame, few: bool, *more: str) -> DataFrame:
+def _meet(rows: DataFrame, fit: DataFrame, few: bool) -> DataFrame:
     """Each row with each estimate of its group: its squared distance ``d2`` and the bin of that."""
-    by_group = fit.groupBy("g").agg(F.collect_list(F.struct("start", *CENTRES, *FACTORS, *more)).alias("__fits"), F.max("n").alias("n"))
-    met = _join(rows, by_group, few).select("g", *VECTOR, F.explode("__fits").alias("__f")).select("g", *VECTOR, "__f.*")
+    parts = ["start", *CENTRES, *FACTORS]
+    if few:
+        met = rows.join(F.broadcast(fit.select("g", *parts)), "g")
+    else:
+        by_group = fit.groupBy("g").agg(F.collect_list(F.struct(*parts)).alias("__fits"), F.max("n").alias("n"))
+        met = join_once(rows, by_group, "g", "n").select("g", *VECTOR, F.explode("__fits").alias("__f")).select("g", *VECTOR, "__f.*")
     bins = F.least(F.floor(F.log2(F.greatest(F.col("d2"), F.lit(2.0**LOW))) * PER_OCTAVE), F.lit(HIGH * PER_OCTAVE))
-    return met.withColumn("d2", _distance()).select("g", "start", *VECTOR, "d2", bins.alias("bin"), *more)
+    return met.select("g", "start", *VECTOR, _distance().alias("d2")).withColumn("bin", bins)
 
 
 def _step(rows: DataFrame, fit: DataFrame, few: bool) -> DataFrame:
@@ -155,26 +155,27 @@ def _step(rows: DataFrame, fit: DataFrame, few: bool) -> DataFrame:
 
     Rows are summed by bin of distance; the rows of the bin in which the h-th lies are summed again by finer parts, and
     of rows in one part with the h-th (equally far, to 2e-5 of the distance) each counts for an equal share of what is
-    left. So the subset has the weight of h rows exactly, and only sums are shuffled. ``before``: the old determinant; ``few``: there are few groups, counted before.
+    left. So the subset has the weight of h rows exactly, and only sums are shuffled. ``before``: the old determinant;
+    ``few``: there are few groups, counted before, whose estimates are broadcast.
     """
+    near = F.broadcast if few else (lambda df: df)
     moments = [F.count("*").cast("double").alias("k"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(VECTOR)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in PAIRS]]
     w = Window.partitionBy("g", "start")
-    coarse = _meet(rows, fit, few).groupBy("g", "start", "bin").agg(*moments)
-    if not few:
-        coarse = cut(coarse)
-    placed = coarse.withColumns({"before": F.sum("k").over(w.orderBy("bin")) - F.col("k"), "h": F.ceil(SUBSET * F.sum("k").over(w))})
+    met = _meet(rows, fit, few)
+    coarse = met.groupBy("g", "start", "bin").agg(*moments)
+    placed = (coarse if few else cut(coarse)).withColumns({"before": F.sum("k").over(w.orderBy("bin")) - F.col("k"), "h": F.ceil(SUBSET * F.sum("k").over(w))})
     whole = placed.where(F.col("before") + F.col("k") <= F.col("h"))
-    edge = placed.where((F.col("before") < F.col("h")) & (F.col("before") + F.col("k") > F.col("h"))).select("g", "start", F.col("bin").alias("edge"), (F.col("h") - F.col("before")).alias("left"))
+    edge = placed.where((F.col("before") < F.col("h")) & (F.col("before") + F.col("k") > F.col("h"))).select("g", "start", "bin", (F.col("h") - F.col("before")).alias("left"))
     low = F.pow(F.lit(2.0), F.col("bin") / PER_OCTAVE)
     part = F.greatest(F.lit(0), F.least(F.lit(PARTS - 1), F.floor((F.col("d2") / low - 1) / (2 ** (1 / PER_OCTAVE) - 1) * PARTS)))
-    fine = _meet(rows, fit.join(edge, ["g", "start"]), few, "edge", "left").where("bin = edge").withColumn("part", part).groupBy("g", "start", "left", "part").agg(*moments)
+    fine = met.join(near(edge), ["g", "start", "bin"]).withColumn("part", part).groupBy("g", "start", "left", "part").agg(*moments)
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("left") - F.col("before")) / F.col("k")))
     taken = fine.withColumn("before", F.sum("k").over(w.orderBy("part")) - F.col("k")).withColumn("share", share).select("g", "start", *[(F.col(c) * F.col("share")).alias(c) for c in SUMS])
     total = whole.select("g", "start", *SUMS).union(taken).groupBy("g", "start").agg(*[F.sum(c).alias(c) for c in SUMS])
     mean = [F.col(f"s{i}") / F.col("k") for i in range(DIMS)]
     scatter = [(F.col(f"s{i}{j}") / F.col("k") - mean[i] * mean[j] + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in PAIRS]
     made = _factored(total.select("g", "start", *[m.alias(c) for m, c in zip(mean, CENTRES, strict=True)], *scatter))
-    return made.join(fit.select("g", "start", "n", F.col("logdet").alias("before")), ["g", "start"])
+    return made.join(near(fit.select("g", "start", "n", F.col("logdet").alias("before"))), ["g", "start"])
 
 
 def minimum_determinant(rows: DataFrame) -> DataFrame:

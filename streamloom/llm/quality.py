@@ -138,6 +138,11 @@ def _starts(rows: DataFrame) -> DataFrame:
     return _factored(both.select("g", "n", *CENTRES, "c.*"))
 
 
+def _slim(df: DataFrame, tasks: int = 1) -> DataFrame:
+    """A small table in no more partitions than the cluster has cores (times ``tasks``), whatever was set for texts."""
+    return df.coalesce(max(1, tasks * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def _meet(rows: DataFrame, fit: DataFrame, few: bool) -> DataFrame:
     """Each row with each estimate of its group: its squared distance ``d2`` and the bin of that."""
     parts = ["start", *CENTRES, *FACTORS]
@@ -159,19 +164,20 @@ def _step(rows: DataFrame, fit: DataFrame, few: bool) -> DataFrame:
     ``few``: there are few groups, counted before, whose estimates are broadcast.
     """
     near = F.broadcast if few else (lambda df: df)
+    slim = _slim if few else (lambda df: df)
     moments = [F.count("*").cast("double").alias("k"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(VECTOR)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in PAIRS]]
     w = Window.partitionBy("g", "start")
     met = _meet(rows, fit, few)
     coarse = met.groupBy("g", "start", "bin").agg(*moments)
-    placed = (coarse if few else cut(coarse)).withColumns({"before": F.sum("k").over(w.orderBy("bin")) - F.col("k"), "h": F.ceil(SUBSET * F.sum("k").over(w))})
+    placed = slim((slim(coarse) if few else cut(coarse)).withColumns({"before": F.sum("k").over(w.orderBy("bin")) - F.col("k"), "h": F.ceil(SUBSET * F.sum("k").over(w))}))
     whole = placed.where(F.col("before") + F.col("k") <= F.col("h"))
     edge = placed.where((F.col("before") < F.col("h")) & (F.col("before") + F.col("k") > F.col("h"))).select("g", "start", "bin", (F.col("h") - F.col("before")).alias("left"))
     low = F.pow(F.lit(2.0), F.col("bin") / PER_OCTAVE)
     part = F.greatest(F.lit(0), F.least(F.lit(PARTS - 1), F.floor((F.col("d2") / low - 1) / (2 ** (1 / PER_OCTAVE) - 1) * PARTS)))
-    fine = met.join(near(edge), ["g", "start", "bin"]).withColumn("part", part).groupBy("g", "start", "left", "part").agg(*moments)
+    fine = slim(met.join(near(edge), ["g", "start", "bin"]).withColumn("part", part).groupBy("g", "start", "left", "part").agg(*moments))
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("left") - F.col("before")) / F.col("k")))
     taken = fine.withColumn("before", F.sum("k").over(w.orderBy("part")) - F.col("k")).withColumn("share", share).select("g", "start", *[(F.col(c) * F.col("share")).alias(c) for c in SUMS])
-    total = whole.select("g", "start", *SUMS).union(taken).groupBy("g", "start").agg(*[F.sum(c).alias(c) for c in SUMS])
+    total = slim(whole.select("g", "start", *SUMS).union(slim(taken)).groupBy("g", "start").agg(*[F.sum(c).alias(c) for c in SUMS]))
     mean = [F.col(f"s{i}") / F.col("k") for i in range(DIMS)]
     scatter = [(F.col(f"s{i}{j}") / F.col("k") - mean[i] * mean[j] + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in PAIRS]
     made = _factored(total.select("g", "start", *[m.alias(c) for m, c in zip(mean, CENTRES, strict=True)], *scatter))
@@ -225,7 +231,8 @@ def quality_rules(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: st
     groups = {"__s": F.concat(F.lit("s:"), name(F.col(lang), F.col(source))), "__l": F.concat(F.lit("l:"), name(F.col(lang)))}
     stats = cut(statistics(docs.withColumns(groups), text, (*keys, *groups)))
     good = ~F.col("base_failed")
-    rows = stats.where(good).select(F.explode(F.array("__s", "__l", F.lit("all"))).alias("g"), *VECTOR)
+    # Vectors take a thirtieth of the room of texts: few tasks each step are enough.
+    rows = _slim(stats.where(good), 4).select(F.explode(F.array("__s", "__l", F.lit("all"))).alias("g"), *VECTOR)
     fits = minimum_determinant(rows)
     kind = lambda x: fits.where(F.col("g").startswith(x))
     by_lang = _shrunk(kind("l:").withColumn("__all", F.lit("all")), kind("all"), "__all")

@@ -262,14 +262,18 @@ def starts_and_ends(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def submit_validation(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """First rule that a job graph breaks, in the order of submission: null edge, reachability, cycle, degrees, sharing."""
-    rules = [gate_gaps(edges).select(F.col("id").alias("node")), unreachable(vertices, edges), cycle_vertices(edges), degree_offenders(vertices, edges).select(F.col("id").alias("node")), sharing_cycles(vertices)]
-    names = ["null_edge", "not_connected", "cycle", "degree", "sharing_cycle"]
-    found = None
-    for k, (rule, name) in enumerate(zip(rules, names, strict=True)):
-        one = rule.agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n > 0").select(F.lit(k).alias("rule_no"), F.lit(name).alias("rule"), "node")
-        found = one if found is None else found.union(one)
-    return found.orderBy("rule_no").limit(1)
+    """First rule that a job graph breaks, in the order of submission: null edge, reachability, cycle, degrees, sharing;
+    with the least vertex that breaks it. Rules after that one are not looked at."""
+    rules = [
+        ("null_edge", lambda: gate_gaps(edges).select(F.col("id").alias("node"))), ("not_connected", lambda: unreachable(vertices, edges)),
+        ("cycle", lambda: cycle_vertices(edges)), ("degree", lambda: degree_offenders(vertices, edges).select(F.col("id").alias("node"))),
+        ("sharing_cycle", lambda: sharing_cycles(vertices)),
+    ]
+    for k, (name, rule) in enumerate(rules):
+        node = rule().agg(F.min("node")).first()[0]
+        if node is not None:
+            return vertices.sparkSession.createDataFrame([(k, name, node)], "rule_no int, rule string, node string")
+    return vertices.select(F.lit(0).alias("rule_no"), F.lit("").alias("rule"), F.col("id").alias("node")).limit(0)
 
 
 def in_memory(spark: SparkSession, edges: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Queries on job graphs. The graphs are small tables of fixed values; two are made from the driver's tables."""
+"""Queries on job graphs. Most graphs are small tables of fixed values; those of orders, parts and suppliers are whole tables of the driver."""
 
 from __future__ import annotations
 

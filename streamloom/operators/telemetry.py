@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ TRANSITIONS = [
 ARCHIVE_SIZE = 20
 NO_DISTANCE = 2**31 - 1
 MOST_TYPES = 1_000
+#: Rows of a table of wishes that one task claims in turn.
+TURN_ROWS = 2_000_000
 
 
 def first_status_time(events: DataFrame, keys: list[str], status: str, wanted: str, time: Column) -> DataFrame:
@@ -131,20 +134,103 @@ def nearest_splits(splits: DataFrame, distances: DataFrame) -> DataFrame:
     return rows.withColumn("__at", at).join(offsets, same).select("instance", "split", "distance", (F.col("__before") + F.col("__at")).cast("int").alias("rank"))
 
 
-def claimed_splits(wanted: DataFrame, times: int | None = None) -> DataFrame:
+def _placed(rows: DataFrame) -> DataFrame:
+    """``rows`` (instance, split, distance) with ``pos``, from 0: the place of a split in its instance's list, by distance,
+    then by number. Whole numbers are numbered by blocks of them, after those of the blocks before."""
+    whole = isinstance(rows.schema["split"].dataType, T.IntegralType)
+    own = rows.withColumn("__k", F.struct("instance", "distance", (F.floor(F.col("split") / (1 << 16)) if whole else F.lit(0)).alias("b")))
+    earlier = Window.partitionBy("__k.instance").orderBy("__k.distance", "__k.b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = own.groupBy("__k").agg(F.count("*").alias("__n"))
+    offsets = counts.select("__k", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    at = F.row_number().over(Window.partitionBy("__k").orderBy("split"))
+    return own.withColumn("__at", at).join(offsets, "__k").select(*rows.columns, (F.col("__before") + F.col("__at") - 1).alias("pos"))
+
+
+def _asked(lists: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """``lists`` with ``ask``: the round in which an instance first asks for a split, if those before it in its list are
+    gone by their ``gone``. Blocks of places take the latest round of the blocks before them."""
+    rows = lists.withColumn("__b", F.floor(F.col("pos") / block))
+    tops = rows.groupBy("instance", "__b").agg(F.max("gone").alias("__top"))
+    before = Window.partitionBy("instance").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tops.select("instance", "__b", F.max("__top").over(before).alias("__old"))
+    inside = Window.partitionBy("instance", "__b").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    full = rows.withColumn("__new", F.max("gone").over(inside)).join(offsets, ["instance", "__b"])
+    return full.select(*lists.columns, F.coalesce(F.greatest("__new", "__old") + 1, F.lit(0)).alias("ask"))
+
+
+def _in_turn(batches: Iterator[pa.RecordBatch], most: int, times: int) -> Iterator[pa.RecordBatch]:
+    """Rounds one by one over the first ``most`` splits of each list, until a list needs one more or for ``times`` rounds."""
+    parts = list(batches)
+    if not parts:
+        return
+    t = pa.Table.from_batches(parts).sort_by([("instance", "ascending"), ("pos", "ascending")]).combine_chunks()
+    code = [t[c].combine_chunks().dictionary_encode() for c in ("instance", "split")]
+    who, split = code[0].indices.to_numpy(), code[1].indices.to_numpy().tolist()
+    far = t["distance"].to_pylist()
+    ends = [*np.flatnonzero(np.diff(who, prepend=-1)).tolist(), len(who)]
+    at, gone, out, k = ends[:-1], [False] * len(code[1].dictionary), [], 0
+    while k < times:
+        best: dict[int, tuple] = {}
+        for i, end in enumerate(ends[1:]):
+            p = at[i]
+            while p < end and gone[split[p]]:
+                p += 1
+            at[i] = p
+            if p - ends[i] >= most:
+                best = {}
+                break
+            if p < end:
+                best[split[p]] = min(best.get(split[p], (far[p], i)), (far[p], i))
+        if not best:
+            break
+        for s, (_, i) in best.items():
+            gone[s] = True
+            out.append((s, i, k))
+        k += 1
+    s, i, r = (pa.array([o[c] for o in out], pa.int32()) for c in range(3))
+    for b in pa.Table.from_arrays([code[1].dictionary.take(s), code[0].dictionary.take(i), r], names=["split", "instance", "round"]).to_batches(1 << 16):
+        yield b
+
+
+def claimed_splits(wanted: DataFrame, times: int | None = None, rows: int = TURN_ROWS) -> DataFrame:
     """(split, instance, round): which instance gets each split, of ``wanted`` (instance, split, distance).
 
     In each round every instance that still wants something asks for the nearest split that is left (ties by number), and
     a split goes to the nearest asker (ties by least instance) and is gone. Rounds go on until nothing is left to claim,
     or for ``times`` rounds.
+
+    Many rounds are settled at once. An instance asks for a split one round after the last of those before it in its list
+    is gone, and a split is gone in the first round in which one asks for it; only one table of rounds fits both. A
+    split's first place in any list is tried; rounds below the first that doesn't fit are right. Where instances get in
+    each other's way, so that few rounds fit, the nearest splits of each, ``rows`` in all, are claimed in turn by one
+    task, as each round needs the one before it.
     """
-    left, got, k = _cut(wanted.select("instance", "split", "distance")), None, 0
-    while (times is None or k < times) and not left.isEmpty():
-        asked = left.groupBy("instance").agg(F.min(F.struct("distance", "split")).alias("a")).select("instance", "a.*")
-        given = _cut(asked.groupBy("split").agg(F.min(F.struct("distance", "instance")).alias("g")).select("split", F.col("g.instance").alias("instance"), F.lit(k).alias("round")))
-        got = given if got is None else got.union(given)
-        left = _cut(left.join(F.broadcast(given.select("split")), "split", "left_anti"))  # at most one split an instance
-        k += 1
+    left, got, done = _cut(wanted.select("instance", "split", "distance").where("instance IS NOT NULL AND split IS NOT NULL")), None, 0
+    most = max(1, rows // max(1, left.select("instance").distinct().count()))
+    kinds = {f.name: f for f in left.schema.fields}
+    schema = T.StructType([kinds["split"], kinds["instance"], T.StructField("round", T.IntegerType())])
+    while (times is None or done < times) and not left.isEmpty():
+        lists = _cut(_placed(left))
+        first = lists.groupBy("split").agg(F.min("pos").alias("gone"))
+        asks = _cut(_asked(lists.join(first, "split")))
+        per = _cut(asks.groupBy("split").agg(F.min("ask").alias("ask"), F.first("gone").alias("gone"), F.min(F.struct("ask", "distance", "instance")).alias("g")))
+        fits = per.where("ask <> gone").agg(F.min(F.least("ask", "gone"))).first()[0]
+        # In turn at least most / instances rounds are settled: every one takes a split from each list at most.
+        if fits is not None and fits < most * most // max(1, rows):
+            near = lists.where(F.col("pos") <= most).select("instance", "split", "distance", "pos")
+            limit = 2**31 - 1 if times is None else times - done
+            given = near.repartition(1).mapInArrow(lambda b, m=most, n=limit: _in_turn(b, m, n), schema)
+        else:
+            bounds = [x for x in (fits, None if times is None else times - done) if x is not None]
+            given = per.where(F.col("ask") < min(bounds)) if bounds else per
+            given = given.select("split", F.col("g.instance").alias("instance"), F.col("ask").cast("int").alias("round"))
+        given = _cut(given)
+        here = given.select("split", "instance", (F.col("round") + done).alias("round"))
+        got = here if got is None else got.union(here)
+        if fits is None:
+            break
+        done += given.agg(F.max("round")).first()[0] + 1
+        left = _cut(left.join(given.select("split"), "split", "left_anti"))
     return wanted.select("split", "instance", F.lit(0).alias("round")).limit(0) if got is None else got
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .graph import _cut
+from .graph import FEW, _cut
 
 #: Allowed changes of a task's state.
 TRANSITIONS = [
@@ -120,24 +120,42 @@ def admitted(wanted: DataFrame, available: DataFrame) -> DataFrame:
     return wanted.join(available, "type", "left").groupBy("job").agg((F.max(short.cast("int")) == 0).alias("admitted"))
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """``df`` for a broadcast if it has few rows; it should be cheap to count, such as ``_cut(...)``."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 def nearest_splits(splits: DataFrame, distances: DataFrame) -> DataFrame:
     """Order in which an instance asks for splits (split, host): by least distance of their hosts, then by number; hosts
-    that aren't known are farthest."""
-    far = splits.join(distances, "host", "left").groupBy("instance", "split").agg(F.min(F.coalesce("distance", F.lit(NO_DISTANCE))).alias("distance"))
-    # An instance ranks all splits: they are ranked by distance and block of numbers, after those of earlier blocks.
-    rows = far.withColumn("__b", F.floor(F.col("split") / (1 << 16)))
-    counts = rows.groupBy("instance", "distance", "__b").agg(F.count("*").alias("__n"))
-    earlier = Window.partitionBy("instance").orderBy("distance", "__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col("instance").alias("__i"), F.col("distance").alias("__d"), F.col("__b").alias("__c"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    at = F.row_number().over(Window.partitionBy("instance", "distance", "__b").orderBy("split"))
-    same = F.col("instance").eqNullSafe(F.col("__i")) & (F.col("distance") == F.col("__d")) & (F.col("__b") == F.col("__c"))
-    return rows.withColumn("__at", at).join(offsets, same).select("instance", "split", "distance", (F.col("__before") + F.col("__at")).cast("int").alias("rank"))
+    that aren't known are farthest.
+
+    Hosts that are equally far from every instance are of one kind. A split's kinds meet the instances where all rows of
+    the split are, so that the product isn't shuffled. If all instances know all kinds, a split's first kind brings the
+    largest distance of each instance, and others only bring what is less.
+    """
+    alike = ["__n", "__h1", "__h2"]
+    sums = [F.sum(F.xxhash64("instance", "distance", F.lit(seed)).cast("decimal(20,0)")).alias(f"__h{seed}") for seed in (1, 2)]
+    hosts = _cut(distances.groupBy("host").agg(F.count("*").alias("__n"), *sums))
+    kinds = _cut(hosts.groupBy(*alike).agg(F.min("host").alias("host")).withColumn("kind", F.monotonically_increasing_id()))
+    of_host = _cut(hosts.join(_few(kinds.drop("host")), alike).select("host", "kind"))
+    near = _cut(distances.join(_few(kinds.select("host", "kind")), "host").select("kind", "instance", F.coalesce("distance", F.lit(NO_DISTANCE)).alias("distance")))
+    most = _cut(near.groupBy("instance").agg(F.max("distance").alias("__most"), F.count("*").alias("__n"), F.countDistinct("kind").alias("__kinds")))
+    n = int(splits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Kind -2: hosts that aren't known. Kind -1: any that is.
+    pairs = splits.join(_few(of_host), "host", "left").select("split", F.coalesce("kind", F.lit(-2)).alias("kind")).distinct().repartition(n, "split")
+    if most.where((F.col("__n") != kinds.count()) | (F.col("__n") != F.col("__kinds")) | F.col("instance").isNull()).isEmpty():
+        first = F.row_number().over(Window.partitionBy("split").orderBy(F.col("kind").desc())) == 1
+        pairs = pairs.withColumn("__first", first).select("split", F.explode(F.when(F.col("__first") & (F.col("kind") >= 0), F.array("kind", F.lit(-1).cast("long"))).otherwise(F.array("kind"))).alias("kind"))
+        near = near.join(_few(most), "instance").where("distance < __most").select("kind", "instance", "distance").union(most.select(F.lit(-1).cast("long"), "instance", "__most"))
+    unknown = most.groupBy().agg(F.lit(-2).cast("long").alias("kind"), F.min("instance").alias("i")).select("kind", F.when(F.lit(False), F.col("i")).alias("instance"), F.lit(NO_DISTANCE).alias("distance"))
+    far = pairs.join(_few(_cut(near.union(unknown))), "kind").groupBy("split", "instance").agg(F.min("distance").alias("distance"))
+    return _placed(far).select("instance", "split", "distance", (F.col("pos") + 1).cast("int").alias("rank"))
 
 
 def _placed(rows: DataFrame) -> DataFrame:
     """``rows`` (instance, split, distance) with ``pos``, from 0: the place of a split in its instance's list, by distance,
     then by number. Whole numbers are numbered by blocks of them, after those of the blocks before."""
-    whole = isinstance(rows.schema["split"].dataType, T.IntegralType)
+    whole = isinstance(rows.schema["split"].dataType, T.NumericType)
     own = rows.withColumn("__k", F.struct("instance", "distance", (F.floor(F.col("split") / (1 << 16)) if whole else F.lit(0)).alias("b")))
     earlier = Window.partitionBy("__k.instance").orderBy("__k.distance", "__k.b").rowsBetween(Window.unboundedPreceding, -1)
     counts = own.groupBy("__k").agg(F.count("*").alias("__n"))

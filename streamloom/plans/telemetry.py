@@ -171,7 +171,7 @@ SELECT instance, split, distance, CAST(row_number() OVER (PARTITION BY instance
 @query(_NEAR)
 def nearest_split_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as splits on their suppliers' hosts, nations as instances: 25 rows, each with each host."""
-    splits = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("split"), F.col("l_suppkey").alias("host")).distinct()
+    splits = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("split"), F.col("l_suppkey").alias("host"))
     n = table(spark, sf_dir, "nation")
     d = table(spark, sf_dir, "supplier").join(F.broadcast(n), F.lit(True)).select(F.col("n_nationkey").alias("instance"), F.col("s_suppkey").alias("host"), F.when(F.col("s_nationkey") == F.col("n_nationkey"), 2).otherwise(4).alias("distance"))
     return tm.nearest_splits(splits, d)

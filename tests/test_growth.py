@@ -49,3 +49,38 @@ def test_claims_in_each_others_way(spark, how):
     rng = random.Random(12)
     near = {(i, s): rng.randrange(6) for i in range(4) for s in range(40) if i != 2 or s % 5 == 0}
     assert claimed(spark, near, **how) == claims(near, how.get("times", 1 << 30))
+
+
+def ranks(splits: list[tuple], distances: list[tuple]) -> set:
+    """Rows by hand: every host of a split with every instance that knows it; none is the one that knows all others."""
+    best = {}
+    for s, h in splits:
+        for i, d in [(i, d) for i, g, d in distances if g == h] or [(None, telemetry.NO_DISTANCE)]:
+            best[i, s] = min(d, best.get((i, s), d))
+    lists = {}
+    for (i, s), d in best.items():
+        lists.setdefault(i, []).append((d, s))
+    return {(i, s, d, k) for i, own in lists.items() for k, (d, s) in enumerate(sorted(own), 1)}
+
+
+@pytest.mark.parametrize("known", [1.0, 0.7])
+def test_ranks_of_splits(spark, known):
+    """Instances that know all hosts and such that don't, hosts alike and not, hosts that no one knows; far numbers."""
+    rng = random.Random(3)
+    distances = [(i, h, 2 if h % 3 == i else 4 if h < 12 else rng.randrange(9)) for i in range(4) for h in range(15) if rng.random() < known]
+    splits = [(s * (1 if s % 2 else 100_000), rng.choice([*range(15), 99])) for s in range(60) for _ in range(3)]
+    got = telemetry.nearest_splits(spark.createDataFrame(splits, "split long, host long"), spark.createDataFrame(distances, "instance long, host long, distance int")).collect()
+    assert {(r.instance, r.split, r.distance, r["rank"]) for r in got} == ranks(splits, distances) and len(got) == len(set(got))
+
+
+def test_ranks_shuffle_no_product(spark, monkeypatch):
+    """20 equal hosts of a split and 50 instances: what is dealt out has a row for a split and its kind of host, no more."""
+    seen = []
+    monkeypatch.setattr(telemetry, "_placed", lambda rows, placed=telemetry._placed: seen.append(rows) or placed(rows))
+    splits = spark.range(400).selectExpr("id div 20 AS split", "id % 20 AS host")
+    distances = spark.range(1000).selectExpr("id % 50 AS instance", "id div 50 AS host", "3 AS distance")
+    assert telemetry.nearest_splits(splits, distances).count() == 1000
+    far = seen[0]._jdf.queryExecution()
+    far.executedPlan().execute().count()
+    plan = far.executedPlan().toString()
+    assert "Exchange hashpartitioning(split" in plan and not [x for x in plan.split("\n") if "Exchange" in x and "instance" in x]

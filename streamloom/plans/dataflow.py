@@ -18,6 +18,8 @@ from streamloom.sources import lines
 from .registry import query, table
 
 MS = "(epoch_us(ts) // 1000)"
+#: Folders that files of documents are dealt to.
+FOLDERS = 1024
 
 
 @query("SELECT event_id, user_id, event_type, value FROM events")
@@ -304,8 +306,8 @@ def directory_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file for each document, read back whole. The file source passes over empty files."""
     folder = _folder(spark)
     files = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("file_name"), F.encode("text", "UTF-8").alias("content"))
-    lines.write_files(files, folder)
-    return lines.read_files(spark, folder).select("file_name", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha"))
+    lines.write_files(files, folder, FOLDERS)
+    return lines.read_spread(spark, folder, FOLDERS).select("file_name", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha"))
 
 
 @query("SELECT count(*) AS n FROM lineitem")

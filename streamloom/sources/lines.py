@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import os
+import uuid
+from collections.abc import Iterator
+from urllib.parse import unquote, urlsplit
+from zlib import crc32
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Bytes of a generated record.
 RECORD_BYTES = 128
+#: Bytes of files that a task hands on at once.
+READ_BYTES = 8 << 20
 
 
 def read_lines(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
@@ -95,19 +102,74 @@ def write_lines(df: DataFrame, path: str, text: str = "value") -> None:
     df.select(F.col(text).alias("value")).write.option("lineSep", "\r\n").mode("overwrite").text(path)
 
 
-def write_files(files: DataFrame, folder: str) -> None:
+def _mounted(folder: str) -> str:
+    """Path of a folder that all executors mount; it may be given as a ``file:`` URI."""
+    parts = urlsplit(folder)
+    if parts.scheme not in ("", "file"):
+        raise ValueError(f"{folder} is no folder that executors mount")
+    return unquote(parts.path) if parts.scheme else folder
+
+
+def write_files(files: DataFrame, folder: str, spread: int = 0) -> None:
     """Each (file_name, content) to a file of that name, through the file system of the executors' Hadoop-free path:
-    ``folder`` must be one that all executors mount. Names are taken by their last part, so none leads out of it."""
-    def write(rows) -> None:
+    ``folder`` must be one that all executors mount. Names are taken by their last part, so none leads out of it.
+    ``spread``: files are dealt by their names to folders 0 to ``spread - 1`` in it, as one folder takes one new file at
+    a time; ``read_spread`` reads those."""
+    folder = _mounted(folder)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.makedirs(folder, exist_ok=True)
-        for r in rows:
-            path = os.path.join(folder, os.path.basename(r["file_name"]))
-            part = f"{path}.{os.getpid()}.part"
-            with open(part, "wb") as f:
-                f.write(bytes(r["content"] or b""))
-            os.replace(part, path)
-
-    files.select("file_name", "content").foreachPartition(write)
+        made = set()
+        for b in batches:
+            for file_name, content in zip(*[b.column(i).to_pylist() for i in range(2)], strict=True):
+                name, own = os.path.basename(file_name), folder
+                if spread:
+                    own = os.path.join(folder, str(crc32(name.encode()) % spread))
+                    if own not in made:
+                        os.makedirs(own, exist_ok=True)
+                        made.add(own)
+                part = os.path.join(own, f".{uuid.uuid4().hex}.part")
+                with open(part, "wb") as f:
+                    f.write(content or b"")
+                os.replace(part, os.path.join(own, name))
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    discard(files.select("file_name", F.col("content").cast("binary").alias("content")).mapInArrow(write, "n long"))
+
+
+def read_spread(spark: SparkSession, folder: str, spread: int) -> DataFrame:
+    """``read_files`` of what ``write_files`` has dealt to ``spread`` folders. Tasks list the folders and read the files,
+    so that no list of all files is made. As in Spark's source, empty files and those whose names begin with ``.`` or
+    ``_`` are passed over."""
+    folder = _mounted(folder)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], names=["file_name", "content"])
+
+        names, contents, size = [], [], 0
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                own = os.path.join(folder, str(k))
+                if not os.path.isdir(own):
+                    continue
+                with os.scandir(own) as found:
+                    for x in found:
+                        if x.name[0] in "._":
+                            continue
+                        with open(x.path, "rb") as f:
+                            content = f.read()
+                        if content:
+                            names.append(x.name)
+                            contents.append(content)
+                            size += len(content)
+                        if size > READ_BYTES or len(names) >= 1_000:
+                            yield batch()
+                            names, contents, size = [], [], 0
+        yield batch()
+
+    tasks = min(spread, 8 * spark.sparkContext.defaultParallelism)
+    return spark.range(0, spread, 1, tasks).mapInArrow(read, "file_name string, content binary")
 
 
 def count_by_partition(df: DataFrame) -> DataFrame:

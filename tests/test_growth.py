@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import pytest
 
 from streamloom.operators import telemetry
+from streamloom.sources import lines
 
 
 def claims(near: dict[tuple, int], times: int = 1 << 30) -> dict:
@@ -84,3 +86,24 @@ def test_ranks_shuffle_no_product(spark, monkeypatch):
     far.executedPlan().execute().count()
     plan = far.executedPlan().toString()
     assert "Exchange hashpartitioning(split" in plan and not [x for x in plan.split("\n") if "Exchange" in x and "instance" in x]
+
+
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_files_in_many_folders(spark, tmp_path, scheme):
+    """Files dealt to folders, read back by tasks that list those; the last part of a name counts, empty files don't."""
+    want = {f"f{i}": bytes([i % 256]) * (i + 1) for i in range(300)} | {"u": b"up", "n ü%20.txt": b"\xff\x00"}
+    files = [(k, v) for k, v in want.items() if k != "u"] + [("../../u", b"up"), ("empty", b""), ("none", None), (".hidden", b"x")]
+    folder = f"{scheme}{tmp_path}/out"
+    lines.write_files(spark.createDataFrame(files, "file_name string, content binary"), folder, 16)
+    kept = [os.listdir(tmp_path / "out" / d) for d in os.listdir(tmp_path / "out")]
+    assert sorted(os.listdir(tmp_path)) == ["out"] and len(kept) == 16 and max(map(len, kept)) < 60
+    assert not [n for names in kept for n in names if n.endswith(".part")]
+    got = lines.read_spread(spark, folder, 16)
+    assert got.rdd.getNumPartitions() <= 16
+    rows = got.collect()
+    assert {r.file_name: bytes(r.content) for r in rows} == want and len(rows) == len(want)
+
+
+def test_other_stores_are_refused(spark):
+    with pytest.raises(ValueError, match="mount"):
+        lines.write_files(spark.createDataFrame([("a", b"a")], "file_name string, content binary"), "hdfs://store/x", 4)

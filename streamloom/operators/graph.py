@@ -172,15 +172,16 @@ def vertex_offenders(vertices: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(``node``, ``component``): least node that hangs together with each, through edges either way.
 
-    Rounds of stars: each node points its larger neighbours to the least node it knows, then itself and its smaller
-    neighbours; paths shrink by half, so few rounds serve even long ones.
+    Edges are first tied by their ``src``: each such node and its neighbours to the least neighbour, which leaves few edges
+    of a dense graph, so give as ``src`` the side with more nodes. Then rounds of stars: each node points its larger
+    neighbours to the least node it knows, then itself and its smaller neighbours; paths shrink by half, so few rounds
+    serve even long ones. ``edges`` may repeat; they are read twice.
     """
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), *[F.sum(F.xxhash64("u", "v", F.lit(seed)).cast("decimal(20,0)")) for seed in (1, 2)]).first())
 
     def tied(rows: DataFrame, least: DataFrame) -> DataFrame:
-        """Rows (u, v) with the least node near u; few nodes, or else those with many neighbours, come by broadcast."""
-        least = _cut(least)
+        """Rows (u, v) with the least node near u (cut); few nodes, or else those with many neighbours, come by broadcast."""
         if least.limit(FEW + 1).count() <= FEW:
             return rows.join(F.broadcast(least), "u")
         hot = least.where(F.col("n") > HOT)  # at most edges / HOT of them
@@ -188,14 +189,17 @@ def components(nodes: DataFrame, edges: DataFrame, src: str = "src", dst: str =
             return rows.join(least, "u")
         return rows.join(F.broadcast(hot), "u").unionByName(rows.join(F.broadcast(hot.select("u")), "u", "left_anti").join(least, "u"))
 
-    e = _cut(edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct())
+    raw = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
+    first = _cut(raw.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+    ends = tied(raw, first).select(F.col("v").alias("x"), "m").union(first.select("u", "m"))
+    e = _cut(ends.select(F.greatest("x", "m").alias("u"), F.least("x", "m").alias("v")).where("u <> v").distinct())
     now = state(e)
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         near = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = _cut(tied(both.where("v > u"), near).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        large = _cut(tied(both.where("v > u"), _cut(near)).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        pairs = tied(large, low).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p"))
+        pairs = tied(large, _cut(low)).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p"))
         e = _cut(pairs.select("p.u", "p.v").where("u <> v").distinct())
         before, now = now, state(e)
         if now == before:
@@ -203,6 +207,14 @@ def components(nodes: DataFrame, edges: DataFrame, src: str = "src", dst: str =
     return nodes.select("node").distinct().join(e.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("component"))
 
 
+def least_names(nodes: DataFrame) -> DataFrame:
+    """(``node``, ``component``) of (node, root): the least node with each root stands for it."""
+    nodes = _cut(nodes)
+    least = _cut(nodes.groupBy("root").agg(F.min("node").alias("component")))
+    least = F.broadcast(least) if least.limit(FEW + 1).count() <= FEW else least
+    return nodes.join(least, "root", "left").select("node", "component")
+
+
 def levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(``node``, ``level``): length of the longest path that ends in a vertex, a topological order of a DAG. A path with
     more edges than vertices that edges leave has been at one of them twice: then there is a cycle, which is an error."""

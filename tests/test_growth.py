@@ -7,7 +7,7 @@ import random
 
 import pytest
 
-from streamloom.operators import telemetry
+from streamloom.operators import graph, telemetry
 from streamloom.sources import lines
 
 
@@ -107,3 +107,15 @@ def test_files_in_many_folders(spark, tmp_path, scheme):
 def test_other_stores_are_refused(spark):
     with pytest.raises(ValueError, match="mount"):
         lines.write_files(spark.createDataFrame([("a", b"a")], "file_name string, content binary"), "hdfs://store/x", 4)
+
+
+def test_dense_graphs_shrink_first(spark, monkeypatch):
+    """Two dense graphs of 200 and 20 nodes a side, each edge twice: what is kept has a row for each node, not each edge."""
+    cuts = []
+    monkeypatch.setattr(graph, "_cut", lambda df, cut=graph._cut: cuts.append(cut(df)) or cuts[-1])
+    e = spark.range(16_000).selectExpr("concat('p', id % 400) AS src", "concat('s', 20 * (id % 400 div 200) + id div 400 % 20) AS dst")
+    nodes = e.selectExpr("src AS node").union(e.select("dst")).union(spark.sql("SELECT 'alone'"))
+    got = {r.node: r.component for r in graph.components(nodes, e).collect()}
+    want = {f"{a}{i}": "p0" if i < n else "p200" for a, n in (("p", 200), ("s", 20)) for i in range(2 * n)} | {"alone": "alone"}
+    assert got == want
+    assert max(c.count() for c in cuts) < 1_000

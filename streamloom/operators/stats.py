@@ -13,6 +13,9 @@ from pyspark.sql.window import Window
 
 from .numbering import over_last, prefix_sums, upper_median
 
+#: Least number of tasks that many small groups are dealt to.
+PARTS = 200
+
 
 def count_window(df: DataFrame, channel: list[str], seq: str, value: str, n: int) -> DataFrame:
     """Median (upper), min, max, sum, count, oldest and newest of the last ``n`` values of each channel."""
@@ -118,11 +121,20 @@ def thread_shares(df: DataFrame, task: str, thread: str, order: str, times: list
 
 
 def cluster_summary(df: DataFrame, round_: str, instance: str, metrics: list[str], expected: int) -> DataFrame:
-    """Integer mean of each metric over all instances, for rounds in which at least the expected number has reported."""
-    per = df.groupBy(round_).agg(F.countDistinct(instance).alias("instances"), F.count("*").alias("__n"), *[F.sum(m).alias(f"__{m}") for m in metrics])
+    """Integer mean of each metric over all instances, for rounds in which at least the expected number has reported.
+
+    An instance's reports of a round are summed first, in as many tasks as ``in_parts`` makes, so that none holds many."""
+    own = in_parts(df.select(round_, instance, *metrics), instance, round_).groupBy(round_, instance).agg(F.count("*").alias("__k"), *[F.sum(m).alias(f"__{m}") for m in metrics])
+    per = own.groupBy(round_).agg(F.count(instance).alias("instances"), F.sum("__k").alias("__n"), *[F.sum(f"__{m}").alias(f"__{m}") for m in metrics])
     return per.where(F.col("instances") >= expected).select(round_, "instances", *[F.expr(f"__{m} div __n").alias(m) for m in metrics])
 
 
+def in_parts(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out by ``keys`` to ``PARTS`` tasks at least, which aren't merged afterwards: groups of the keys are
+    summed there, and what one task holds stays small."""
+    return df.repartition(max(PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def nested_load(df: DataFrame, task: str, seq: str, load: Column, n: int = 5) -> DataFrame:
     """Mean of a task's last ``n`` loads."""
     return over_last(df.withColumn("__load", load), [task], seq, n, {"load_mean": F.avg("__load")}).drop("__load")

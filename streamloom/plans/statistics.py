@@ -158,7 +158,7 @@ WITH c AS (SELECT l_suppkey AS instance, l_orderkey // 500 AS round, sum(CAST(l_
 
 def _rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("instance"), F.expr("l_orderkey div 500").alias("round"), F.col("l_quantity").cast("long").alias("q"), F.col("l_linenumber").cast("long").alias("n"))
-    return li.groupBy("instance", "round").agg(F.sum("q").alias("usr"), F.sum("n").alias("sys"), F.count("*").alias("idle"))
+    return stats.in_parts(li, "instance", "round").groupBy("instance", "round").agg(F.sum("q").alias("usr"), F.sum("n").alias("sys"), F.count("*").alias("idle"))
 
 
 @query(_ROUNDS + """
@@ -192,9 +192,8 @@ SELECT round, count(DISTINCT instance) AS instances, CAST(sum(usr) // count(*) A
 """)
 def cluster_summary_int_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rounds in which at least half of all instances have reported."""
-    c = _rounds(spark, sf_dir)
-    n = c.agg(F.countDistinct("instance").alias("n")).first()["n"]
-    return stats.cluster_summary(c, "round", "instance", ["usr", "sys"], -(-n // 2))
+    n = table(spark, sf_dir, "lineitem").agg(F.countDistinct("l_suppkey").alias("n")).first()["n"]
+    return stats.cluster_summary(_rounds(spark, sf_dir), "round", "instance", ["usr", "sys"], -(-n // 2))
 
 
 @query(f"SELECT event_id, round(avg({CENTS} * 2) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 4) AS load_mean FROM events")

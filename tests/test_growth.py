@@ -7,7 +7,7 @@ import random
 
 import pytest
 
-from streamloom.operators import graph, telemetry
+from streamloom.operators import graph, stats, telemetry
 from streamloom.sources import lines
 
 
@@ -119,3 +119,11 @@ def test_dense_graphs_shrink_first(spark, monkeypatch):
     want = {f"{a}{i}": "p0" if i < n else "p200" for a, n in (("p", 200), ("s", 20)) for i in range(2 * n)} | {"alone": "alone"}
     assert got == want
     assert max(c.count() for c in cuts) < 1_000
+
+
+def test_summary_in_many_tasks(spark):
+    """Repeated reports and nameless instances, on few shuffle partitions: reports are summed in 200 tasks, not in 4."""
+    df = spark.createDataFrame([(1, 1, 10), (1, 1, 20), (1, 2, 5), (1, None, 7), (2, 1, 4), (3, 1, None), (3, 2, 9)], "r int, i int, m long")
+    out = stats.cluster_summary(df, "r", "i", ["m"], 2)
+    assert sorted(tuple(x) for x in out.collect()) == [(1, 2, 10), (3, 2, 4)]
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
